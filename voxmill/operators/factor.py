@@ -52,6 +52,12 @@ def gram_matrix(rows: DataFrame, columns: int) -> np.ndarray:
     return gram
 
 
+def sparse_gram(px: DataFrame) -> DataFrame:
+    """(i, j, g) with i <= j: products of the columns of a sparse table (px, t, v) of whole numbers, as a join."""
+    a, b = px.select("px", F.col("t").alias("i"), F.col("v").alias("a")), px.select("px", F.col("t").alias("j"), F.col("v").alias("b"))
+    return a.join(b, "px").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+
+
 def truncated_svd(px: DataFrame, columns: int, k: int) -> Svd:
     """The first ``k`` components, or as many as the rank has, with the largest entry of each v positive.
 

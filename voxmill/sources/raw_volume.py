@@ -1,6 +1,6 @@
 """A data source for headerless volumes of unsigned 16-bit voxels, plane after plane, row after row.
 
-    spark.dataSource.register(RawVolumeSource)
+    register(spark)
     spark.read.format("rawvol").options(width=2437, height=1851).load(path)
 
 One partition reads a range of planes by seeking in the file; a filter on z leaves out the planes
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -93,6 +93,12 @@ class RawVolumeReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], names=["z", "y", "x", "v"])
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let it see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RawVolumeSource)
+
+
 def as_planes(voxels: DataFrame, height: int, width: int) -> DataFrame:
     """(z, height, width, data): one binary value per plane; missing voxels are 0, others must fit 16 bits."""
 
