@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize
+from .common import evaluated_once, fresh_name, materialize
 
 #: The ensemble is fitted on about so many labelled documents, chosen by a hash of their id.
 SAMPLE_ROWS = 6000
@@ -132,7 +132,7 @@ def with_score(docs: DataFrame, model: RuleModel, name: str) -> DataFrame:
     """``docs`` with the column ``name``: the score of its text, between 0 and 1."""
     measured = fresh_name(docs, "statistics_")
     statistics = text_statistics(F.col("text"))
-    held = docs.withColumn(measured, F.struct(*(c.alias(s) for s, c in statistics.items())))
+    held = evaluated_once(docs, measured, F.struct(*(c.alias(s) for s, c in statistics.items())))
     return held.withColumn(name, model.score([F.col(measured)[s] for s in statistics])).drop(measured)
 
 
