@@ -40,9 +40,11 @@ def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` as a column that later expressions read instead of repeating it.
 
     The optimizer merges projections, and would copy the expression into each that uses it; it does
-    not merge them across a generator.
+    not merge them across a generator. What ``value`` repeats within itself, the projection below
+    the generator computes once.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    once = fresh_name(df, f"{name}_once")
+    return df.withColumn(once, value).select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.array(once)).alias(name))
 
 
 def crc_fold(doc_id, folds: int):
