@@ -38,7 +38,8 @@ def test_query_matches_its_sql(spark, oracle, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.CATALOGUE) - set(entry.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    # The smallest scale's series has no shape of the planted period.
+    frame = entry.queries()[name](spark, SF_DIR.replace("sf0.001", "sf0.01"))
     assert frame.columns and frame.count() > 0
 
 
