@@ -129,14 +129,14 @@ def voxel_linear_id(spark, sf_dir):
 
 
 @register("acf_topk", f"""with {SERIES}, n as (select count(*) n from series), lags as (select cast(range as int) lag from range(1, {LAGS + 1}))
-select lag, round(sum(a.v * b.v) + {OFF_TIES}e0, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag order by sum(a.v * b.v) desc, lag limit {TOP}""")
+select lag, round(sum(a.v * b.v) + {OFF_TIES}, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag order by sum(a.v * b.v) desc, lag limit {TOP}""")
 def acf_topk(spark, sf_dir):
     values = fx.series(spark, sf_dir)
     return rounded(spectrum.top_lags(spectrum.lag_products(values, values.count(), LAGS), TOP).withColumn("r", F.col("r") + OFF_TIES), "r", digits=2)
 
 
 @register("acf_spectrum", f"""with {SERIES}, n as (select count(*) n from series), lags as (select cast(range as int) lag from range(1, {LAGS + 1}))
-select lag, round(sum(a.v * b.v) + {OFF_TIES}e0, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag""")
+select lag, round(sum(a.v * b.v) + {OFF_TIES}, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag""")
 def acf_spectrum(spark, sf_dir):
     values = fx.series(spark, sf_dir)
     return rounded(spectrum.autocorrelation(values, values.count(), LAGS).withColumn("r", F.col("r") + OFF_TIES), "r", digits=2)
@@ -146,7 +146,7 @@ def acf_spectrum(spark, sf_dir):
 acf as (select lag, sum(a.v * b.v) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n where lag < n.n group by lag),
 best as (select lag w from acf where lag <= {BEST_WIDTH} order by r desc, lag limit 1),
 cand as (select w, cast(range as int) h from best, range(1, {fx.SERIES_ROWS}), n where w * range <= n.n and n.n % (w * range) = 0)
-select w width, h height, cast(n.n // (w * h) as int) depth, round(r + {OFF_TIES}e0, 2) score from cand cross join n left join acf on lag = w * h and w * h < n.n""")
+select w width, h height, cast(n.n // (w * h) as int) depth, round(r + {OFF_TIES}, 2) score from cand cross join n left join acf on lag = w * h and w * h < n.n""")
 def shape_candidates(spark, sf_dir):
     values = fx.series(spark, sf_dir, PERIOD)
     n = values.count()
