@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_spec
+from .common import materialize
 from .rank_tokens import encode, rank_encoder
 
 #: Lengths that share a block of running sums.
@@ -50,6 +51,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     Columns: n_tokens, n_docs, docs_up_to, tokens_up_to, docs_over, tokens_over, truncated_total
     (tokens that remain when every document is cut at this length) and share_up_to (documents).
     """
+    histogram = materialize(histogram)  # read twice below; it must not encode the texts twice
     rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     # One row per BLOCK lengths: a document of a billion tokens adds at most a quarter million rows.
