@@ -18,7 +18,7 @@ belongs to its class but never names it. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -157,10 +157,10 @@ def fingerprint_links(points: DataFrame, paired_bucket: int = PAIRED_BUCKET) ->
     return of_two.unionByName(of_few).unionByName(ball_links(crowded))
 
 
-def near_duplicates(prints: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
-    """fp and component_id: the smallest doc_id that is reachable over links, for distinct fingerprints."""
+def linked_classes(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fp and component_id: the smallest doc_id that is reachable over the links of the distinct fingerprints."""
     points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    labels = connected_components(fingerprint_links(points.select("fp"), paired_bucket))
+    labels = connected_components(links_of(points.select("fp")))
     linked = labels.join(points, labels["node"] == points["fp"])
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     joined = linked.join(least, "component").select("fp", "component_id")
@@ -168,6 +168,11 @@ def near_duplicates(prints: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> Da
     return joined.unionByName(alone)
 
 
+def near_duplicates(prints: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
+    """fp and component_id: the smallest doc_id that is reachable over links, for distinct fingerprints."""
+    return linked_classes(prints, lambda points: fingerprint_links(points, paired_bucket))
+
+
 def document_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = materialize(fingerprints(docs, width))
@@ -181,7 +186,12 @@ def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     A row without doc_id is kept. Rows are told apart by doc_id and a hash of their text.
     """
     prints = materialize(fingerprints(docs, width))
-    lost = prints.join(near_duplicates(prints), "fp").where("doc_id <> component_id")
+    return without_linked(docs, prints, near_duplicates(prints))
+
+
+def without_linked(docs: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose class in ``classes`` (fp, component_id) has no smaller doc_id."""
+    lost = prints.join(classes, "fp").where("doc_id <> component_id")
     key, ident = fresh_name(docs, "text_key_"), fresh_name(docs, "lost_id_")
     lost = lost.select(F.col("text_key").alias(key), F.col("doc_id").alias(ident)).distinct()
     marked = docs.withColumn(key, F.xxhash64("text"))
