@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_spec
-from .rank_tokens import encode, rank_encoder
+from .rank_tokens import encode
 
 #: Tokens that are packed together; the memory of a task is bounded by it and its longest document.
 BLOCK_TOKENS = 4_000_000
@@ -166,14 +166,13 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, closing_id: i
     end = np.array([closing_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(spec.value)
         sequence = TaskContext.get().partitionId() << 32
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = np.concatenate((encode(encoder, text.as_py() or ""), end))
+                own = np.concatenate((encode(spec.value, text.as_py() or ""), end))
                 doc_ids.append(doc_id)
                 ids.append(own)
                 size += len(own)

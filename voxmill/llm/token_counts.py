@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import read_spec
 from .common import materialize
-from .rank_tokens import encode, rank_encoder
+from .rank_tokens import encode
 
 #: Lengths that share a block of running sums.
 BLOCK = 4096
@@ -31,9 +31,8 @@ def document_lengths(docs: DataFrame, path: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(spec.value)
         for batch in batches:
-            counts = np.fromiter((len(encode(encoder, t.as_py() or "")) for t in batch.column("text")), np.int64, batch.num_rows)
+            counts = np.fromiter((len(encode(spec.value, t.as_py() or "")) for t in batch.column("text")), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts)], names=["doc_id", "n_tokens"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
