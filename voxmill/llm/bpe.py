@@ -3,7 +3,9 @@
 The symbols of many words lie in one flat array. A round looks up the rank of every neighbouring
 pair by binary search over the sorted pair keys, takes the lowest rank of each word, and merges all
 occurrences of that pair in the word at once. Words that have no pair left are set aside, so that
-later rounds only touch what is still being merged.
+later rounds only touch what is still being merged. A long word is merged by rounds of its own, each of
+which takes the lowest rank that is left in it and looks only at the places where that pair stands, so
+time does not grow with the product of its length and its merges.
 
 Texts are first cut where every later cut of the splitting pattern is certain (in front of the last
 white space before a word, and between plain letters and marks), and each distinct chunk is encoded once per worker, in a table of
@@ -16,6 +18,7 @@ whole. Added tokens of the vocabulary are recognised inside texts, as the tokeni
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -38,8 +41,13 @@ MARKS = ".,;:!?#$%&*|"
 
 SHIFT = 20
 NO_RANK = np.iinfo(np.int64).max
-#: Distinct chunks that a worker remembers; beyond it the table starts anew.
+#: Distinct chunks, and characters in them, that a worker remembers; beyond either the table starts anew.
 CACHE_CHUNKS = 400_000
+CACHE_CHARS = 16_000_000
+#: Bytes from which on a word is merged by rounds of its own.
+LONG_WORD = 1000
+#: Symbols whose pairs are looked up together in a long word.
+PART = 1 << 20
 #: Characters that are encoded at once.
 GROUP_CHARS = 2_000_000
 
@@ -97,12 +105,16 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.ids = np.empty(0, dtype=np.int32)
         self.starts = np.empty(0, dtype=np.int64)
         self.lengths = np.empty(0, dtype=np.int64)
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all non-empty ``words`` in one array, and how many each word has."""
+        long = [i for i, word in enumerate(words) if len(word) >= LONG_WORD]
+        if long:
+            return self._with_long_words(words, long)
         if not words:
             return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -139,6 +151,83 @@ class ByteBpe:
         order = np.argsort(owner, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
+    def _with_long_words(self, words: list[bytes], long: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge_words``, where ``long`` numbers the long words."""
+        apart = set(long)
+        ids, some = self.merge_words([word for i, word in enumerate(words) if i not in apart])
+        ids_of_long = [self.merge_long(words[i]) for i in long]
+        counts = np.empty(len(words), dtype=np.int64)
+        counts[[i for i in range(len(words)) if i not in apart]] = some
+        counts[long] = list(map(len, ids_of_long))
+        ends = np.cumsum(counts)
+        result = np.empty(int(ends[-1]), dtype=np.int32)
+        inside = np.ones(len(result), dtype=bool)
+        for i, own in zip(long, ids_of_long, strict=True):
+            result[ends[i] - counts[i] : ends[i]] = own
+            inside[ends[i] - counts[i] : ends[i]] = False
+        result[inside] = ids
+        return result, counts
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, by binary search; the number of merges where there is none."""
+        result = np.empty(len(left), dtype=np.int32)
+        for start in range(0, len(left), PART):
+            pairs = (left[start : start + PART].astype(np.int64) << SHIFT) | right[start : start + PART]
+            at = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
+            result[start : start + PART] = np.where(self.pair_keys[at] == pairs, self.pair_ranks[at], len(self.merged))
+        return result
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: rounds over ranks from the lowest on, each over the places of its pair only."""
+        symbols = self.byte_ids.astype(np.int32)[np.frombuffer(word, dtype=np.uint8)]
+        n, none = len(symbols), len(self.merged)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)  # with a place behind the end
+        alive = np.ones(n, dtype=bool)
+        ranks = np.append(self.pair_rank(symbols[:-1], symbols[1:]), np.int32(none))
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enlist(places: np.ndarray) -> None:
+            """Queue places by the rank of the pair that begins there."""
+            places = places[ranks[places] < none]
+            places = places[np.argsort(ranks[places], kind="stable")]
+            own = ranks[places]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for part in np.split(places, cuts) if len(places) else ():
+                rank = int(ranks[part[0]])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(queue, rank)
+                waiting[rank].append(part)
+
+        enlist(np.arange(n, dtype=np.int32))
+        while queue:
+            rank = heapq.heappop(queue)
+            places = np.concatenate(waiting.pop(rank))
+            places = np.unique(places[ranks[places] == rank])
+            if not len(places):
+                continue
+            # Of pairs that overlap, every second one is merged.
+            starts = np.concatenate(([True], after[places[:-1]] != places[1:]))
+            index = np.arange(len(places))
+            begin = np.maximum.accumulate(np.where(starts, index, 0))
+            chosen = places[(index - begin) % 2 == 0]
+            gone = after[chosen]
+            symbols[chosen] = self.merged[rank]
+            ranks[gone], alive[gone] = none, False
+            after[chosen] = after[gone]
+            before[after[chosen]] = chosen
+            touched = np.unique(np.concatenate((chosen, before[chosen])))
+            touched = touched[touched >= 0]
+            following = after[touched]
+            inner = following < n
+            ranks[touched[~inner]] = none
+            touched, following = touched[inner], following[inner]
+            ranks[touched] = self.pair_rank(symbols[touched], symbols[following])
+            enlist(touched)
+        return symbols[alive]
+
     def _learn(self, chunks: list[str]) -> None:
         """Add new chunks to the table of known ones."""
         words_of = [[w.encode("utf-8", "replace") for w in self.split.findall(chunk)] for chunk in chunks]
@@ -153,6 +242,7 @@ class ByteBpe:
         ends = np.cumsum(per_chunk)
         lengths = sums[ends] - sums[ends - per_chunk]
         starts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.known_chars += sum(map(len, chunks))
         self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
         self.ids = np.concatenate((self.ids, new_ids))
         self.starts = np.concatenate((self.starts, starts))
@@ -178,7 +268,7 @@ class ByteBpe:
             own = self._chunks(text)
             counts[i] = len(own)
             chunks += own
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_CHUNKS or self.known_chars > CACHE_CHARS:
             self._forget()
         places = list(map(self.known.get, chunks))
         if None in places:

@@ -8,12 +8,16 @@ of equally near ones, the first by name.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if no row has a
 language to learn from. Rows are judged one by one: repeated rows get the same result, an empty
-table gives an empty one.
+table gives an empty one, and other columns are not read. Long texts are counted in parts, so a task
+holds the distinct n-grams of a text and not one code for each of its characters.
+
+A filter keeps what is near enough to the profile of a wanted language (``LEAST_SCORE``): a text in
+a language without a profile has a nearest profile too, but one that it hardly resembles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +31,11 @@ PROFILE = 300
 SAMPLE_PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
+#: Documents are kept by a filter from this score on; a text of a learned language has 0.5 to 0.9.
+LEAST_SCORE = 0.4
+#: Characters whose n-grams are held together.
+PART = 1 << 20
+
 EDGE = 1
 WIDTH = 21
 
@@ -38,17 +47,37 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Codes of all n-grams of one to three characters; what is no letter is a word edge."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    letters = letter_table()[points]
-    if not letters.any():
-        return np.empty(0, dtype=np.int64)
-    codes = np.concatenate(([EDGE], np.where(letters, points, EDGE), [EDGE]))
-    codes = codes[np.concatenate(([True], (codes[1:] != EDGE) | (codes[:-1] != EDGE)))]
-    pairs = (codes[:-1] << WIDTH) | codes[1:]
-    triples = (pairs[:-1] << WIDTH) | codes[2:]
-    return np.concatenate((codes[codes != EDGE], pairs, triples))
+def ngrams(text: str) -> Iterator[np.ndarray]:
+    """Codes of all n-grams of one to three characters, part by part; what is no letter is a word edge."""
+    lowered = text.lower()
+    before = np.array([EDGE])
+    for start in range(0, len(lowered) + 1, PART):
+        points = np.frombuffer(lowered[start : start + PART].encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+        codes = np.where(letter_table()[points], points, EDGE)
+        if start + PART > len(lowered):
+            codes = np.append(codes, EDGE)
+        codes = np.concatenate((before, codes[(codes != EDGE) | (np.concatenate((before[-1:], codes[:-1])) != EDGE)]))
+        pairs = (codes[:-1] << WIDTH) | codes[1:]
+        own = codes[len(before) :]
+        yield np.concatenate((own[own != EDGE], pairs[len(before) - 1 :], (pairs[:-1] << WIDTH) | codes[2:]))
+        before = codes[-2:]
+
+
+def added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts."""
+    if len(grams) == 1:
+        return grams[0], counts[0]
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a whole text and their counts."""
+    total: tuple[np.ndarray, np.ndarray] | None = None
+    for part in ngrams(text):
+        own = np.unique(part, return_counts=True)
+        total = own if total is None else added([total[0], own[0]], [total[1], own[1]])
+    return total
 
 
 def most_frequent(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -61,10 +90,10 @@ def most_frequent(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) ->
 
 def distances(text: str, profiles: Profiles) -> np.ndarray | None:
     """Out-of-place distance to each profile as a share of the largest possible; None without letters."""
-    found = ngrams(text)
-    if not len(found):
+    grams, counts = gram_counts(text)
+    if not len(grams):
         return None
-    own = most_frequent(*np.unique(found, return_counts=True))
+    own = most_frequent(grams, counts)
     ranks = np.arange(len(own))
     result = np.empty(len(profiles))
     for i, (_, grams, places) in enumerate(profiles):
@@ -90,11 +119,11 @@ def fit_profiles(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(ngrams(text))
+            texts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                texts.setdefault(lang, []).append(gram_counts(text.as_py()))
             for lang, found in texts.items():
-                grams, counts = np.unique(np.concatenate(found), return_counts=True)
+                grams, counts = added(*map(list, zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"]
                 )
@@ -137,13 +166,16 @@ def predict_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows whose text has a language, with all columns of ``docs``."""
+def keep_languages(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, wanted: Collection[str] | None = None) -> DataFrame:
+    """The rows whose text is in a wanted language (any learned one by default) with a score of ``least`` or more; all columns of ``docs``."""
     known = docs.sparkSession.sparkContext.broadcast(profiles)
 
+    def accepts(text: str | None) -> bool:
+        lang, score = judge(text, known.value)
+        return lang != UNDETERMINED and score >= least and (wanted is None or lang in wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [judge(text.as_py(), known.value)[0] != UNDETERMINED for text in batch.column("text")]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array([accepts(text.as_py()) for text in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
