@@ -14,20 +14,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; on a single machine without it, a temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return configured or tempfile.mkdtemp(prefix="voxmill-checkpoint-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is only
-    set where none is configured, as on a single machine in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="voxmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions for a shuffle of few bytes before much work, which the optimizer is not to merge."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a key from which on they are joined where they lie, instead of in one task.
+HOT_ROWS = 100_000
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined to the one row that ``table`` has for each ``key``; the result has the columns of both.
+
+    ``size`` says how many of ``rows`` have the key, and ``table`` is cut off from its lineage. Keys with more
+    than ``hot_rows`` are broadcast, which are at most as many as ``rows`` has times ``hot_rows``, so no
+    task gets more rows of one key.
+    """
+    hot = table.where(F.col(size) > hot_rows)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    met = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), key, "left")
+    cold = met.where("hot_ is null").select(*rows.columns).join(table.where(F.col(size) <= hot_rows), key)
+    return met.where("hot_").drop("hot_").unionByName(cold)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have in any spelling of case."""
     taken = {name.lower() for name in df.columns}

@@ -3,8 +3,9 @@
 Every text becomes a SHA-256 digest. A Misra-Gries summary of each partition keeps a fixed number of
 counters; the summed counters name the few digests that can be frequent over the whole table. Those
 are counted exactly, and the winners of the ones that are frequent indeed are broadcast: their copies
-are decided where they lie. All other digests go through an ordinary shuffle, in which no group can
-be larger than the frequency bound.
+are decided where they lie. All other digests are shuffled: groups are first summed up by every task
+for itself, so that each sends one row, and rows then meet their group in a join that is split where
+a key has many rows.
 
 Texts are equal when they are identical; a null text counts as empty. The row with the largest
 doc_id stays; a null doc_id is smaller than any other. Of rows that repeat both text and doc_id, one
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize
+from .common import fresh_name, joined_by_key, materialize
 
 #: Counters of a summary. A digest in more than 2 / COUNTERS of all rows is found for certain.
 COUNTERS = 1024
@@ -101,12 +102,10 @@ def duplicate_map(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     heavy = split.where(F.col("group_size").isNotNull()).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest"
     )
-    group = Window.partitionBy("digest")
-    best = F.max(F.struct("doc_id", "row")).over(group)
-    light = (
-        split.where(F.col("group_size").isNull())
-        .select("doc_id", "row", "digest", best.alias("best"), F.count("*").over(group).alias("group_size"))
-        .select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
+    rare = split.where(F.col("group_size").isNull()).select("doc_id", "row", "digest")
+    groups = rare.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+    light = joined_by_key(rare, materialize(groups), "digest", "group_size").select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest"
     )
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

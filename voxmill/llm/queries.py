@@ -51,7 +51,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.document_lengths(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
-    return token_counts.suffix_sums(token_counts.length_histogram(lengths))
+    return token_counts.length_report(lengths)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

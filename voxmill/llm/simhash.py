@@ -13,7 +13,9 @@ three bits or fewer has such a point. So all fingerprints that meet in a point a
 them, exactly and with a number of rows in proportion to the fingerprints.
 
 Empty texts and nulls have fingerprint zero and are linked like any other. A row with a null doc_id
-belongs to its class but never names it. An empty table gives an empty one.
+belongs to its class but never names it. Texts of any length are fingerprinted whole, in parts. Repeated
+rows are in one class; extra columns are passed on by ``keep_one_of_each`` and else not read, whatever
+their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize
+from .common import fresh_name, joined_by_key, materialize, shuffle_width
 from .components import connected_components
 
 #: Fixed value of the fingerprint: the seed of its hash.
@@ -146,11 +148,12 @@ def ball_links(points: DataFrame) -> DataFrame:
 
 def fingerprint_links(points: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
     """(a, b) links between distinct fingerprints (fp) that connect all pairs within three bits."""
-    variants = deletion_variants(points)
+    # Few bytes before 64 rows for each: dealt out again, or a few tasks would make all variants.
+    variants = deletion_variants(points.repartition(shuffle_width(points.sparkSession), "fp"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     shared = materialize(shared)
     of_two = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
-    members = variants.join(shared.where("n > 2").select("key", "n"), "key")
+    members = joined_by_key(variants, shared.where("n > 2").select("key", "n"), "key", "n")
     lists = members.where(F.col("n") <= paired_bucket).groupBy("key").agg(F.collect_list("fp").alias("members"))
     of_few = bucket_links(lists, MAX_BITS)
     crowded = members.where(F.col("n") > paired_bucket).select("fp").distinct()
@@ -158,18 +161,18 @@ def fingerprint_links(points: DataFrame, paired_bucket: int = PAIRED_BUCKET) ->
 
 
 def linked_classes(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """fp and component_id: the smallest doc_id that is reachable over the links of the distinct fingerprints."""
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    labels = connected_components(links_of(points.select("fp")))
-    linked = labels.join(points, labels["node"] == points["fp"])
-    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    joined = linked.join(least, "component").select("fp", "component_id")
-    alone = points.join(labels, points["fp"] == labels["node"], "left_anti").select("fp", F.col("least_id").alias("component_id"))
-    return joined.unionByName(alone)
+    """fp, n (its rows) and component_id: the smallest doc_id that is reachable over the links of the distinct fingerprints."""
+    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    labels = materialize(connected_components(links_of(points.select("fp"))))
+    linked = labels.join(points, labels["node"] == points["fp"]).select("fp", "n", "least_id", "component")
+    least = materialize(linked.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")))
+    joined = joined_by_key(linked, least, "component", "size").select("fp", "n", "component_id")
+    alone = points.join(labels, points["fp"] == labels["node"], "left_anti").select("fp", "n", F.col("least_id").alias("component_id"))
+    return materialize(joined.unionByName(alone))
 
 
 def near_duplicates(prints: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
-    """fp and component_id: the smallest doc_id that is reachable over links, for distinct fingerprints."""
+    """fp, n and component_id: the smallest doc_id that is reachable over links, for distinct fingerprints."""
     return linked_classes(prints, lambda points: fingerprint_links(points, paired_bucket))
 
 
@@ -177,7 +180,7 @@ def document_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = materialize(fingerprints(docs, width))
     classes = near_duplicates(prints)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined_by_key(prints, classes, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -190,8 +193,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def without_linked(docs: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose class in ``classes`` (fp, component_id) has no smaller doc_id."""
-    lost = prints.join(classes, "fp").where("doc_id <> component_id")
+    """The rows of ``docs`` whose class in ``classes`` (fp, n, component_id) has no smaller doc_id."""
+    lost = joined_by_key(prints, classes, "fp", "n").where("doc_id <> component_id")
     key, ident = fresh_name(docs, "text_key_"), fresh_name(docs, "lost_id_")
     lost = lost.select(F.col("text_key").alias(key), F.col("doc_id").alias(ident)).distinct()
     marked = docs.withColumn(key, F.xxhash64("text"))

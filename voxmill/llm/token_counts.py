@@ -5,8 +5,8 @@ totals, quantiles and truncated totals for every context limit without touching
 histogram has one row per distinct length; running sums are taken inside blocks of lengths and
 joined with the sums of whole blocks, so no single task orders all lengths.
 
-A null or empty text has length 0; repeated rows count as often as they occur; an empty table has
-an empty histogram.
+A null or empty text has length 0; texts of any length are encoded whole; repeated rows count as often
+as they occur; other columns are not read; an empty table has an empty histogram.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from .rank_tokens import encode
 
 #: Lengths that share a block of running sums.
 BLOCK = 4096
+#: What a report answers besides the sums at each length.
+CONTEXT_LIMITS = (512, 1024, 2048, 4096, 8192, 16_384, 32_768, 131_072)
+QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 
 
 def document_lengths(docs: DataFrame, path: str) -> DataFrame:
@@ -99,3 +102,18 @@ def length_quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
     """share and n_tokens: the least length that at least this share of the documents does not exceed."""
     at = F.explode(F.array(*(F.lit(float(share)) for share in shares))).alias("share")
     return sums.select("n_tokens", "share_up_to", at).where("share_up_to >= share").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+
+
+def length_report(lengths: DataFrame, limits: Sequence[int] = CONTEXT_LIMITS, shares: Sequence[float] = QUANTILES) -> DataFrame:
+    """All answers in one table: suffix sums at each length, truncated totals at context limits, and quantiles.
+
+    ``kind`` is ``length``, ``limit`` or ``quantile``; columns are those of ``suffix_sums``, null where a kind has none.
+    """
+    histogram = materialize(length_histogram(lengths))
+    sums = materialize(suffix_sums(histogram))
+    cut = truncated_totals(histogram, limits).select(
+        F.lit("limit").alias("kind"), F.col("context_limit").alias("n_tokens"), F.col("docs_cut").alias("docs_over"), F.col("tokens_kept").alias("truncated_total")
+    )
+    quantiles = length_quantiles(sums, shares).select(F.lit("quantile").alias("kind"), "n_tokens", F.col("share").alias("share_up_to"))
+    rows = sums.select(F.lit("length").alias("kind"), *sums.columns)
+    return rows.unionByName(cut, allowMissingColumns=True).unionByName(quantiles, allowMissingColumns=True)

@@ -1,14 +1,20 @@
 """URL filters: listed rules first, then association rules mined from labelled URLs.
 
 A listed rule names a host and the start of a path; it fits the host and its subdomains, and of all
-rules that fit, the longest decides. Other URLs are judged by rules that FP-growth mines from the
-tokens of labelled URLs: combinations of tokens that imply a bad page with enough support, confidence
-and lift. A mined rule matches a URL if it has all of the rule's tokens, found by an inverted index:
-an equality join of the tokens of distinct URLs with the tokens of the rules, counted per rule.
+rules that fit, the longest decides; of equally long ones, the one that is listed last. Other URLs are
+judged by rules that FP-growth mines from the tokens of labelled URLs: combinations of tokens that
+imply a bad page. They are pruned by support, by lift, and by the lower bound of an interval of their
+confidence, so that a rule which few rows show must be surer than one which many do. Rules that say
+less than a shorter one are left out.
+
+A mined rule is indexed under its rarest token. A URL's tokens meet the index in an equality join,
+and a rule matches if the URL has its other tokens too. So a token that most URLs have costs nothing
+unless a rule has no rarer one.
 
 A null URL, and one without ``://``, has an empty host and path and no token: it is allowed. Repeated
-rows get the same verdict. Without labels, or if no rule is frequent and sure enough, everything that
-no listed rule names is allowed. An empty table gives an empty one.
+rows get the same verdict; URLs of any length are read whole; other columns are not read. Without
+labels, or if no rule is frequent and sure enough, everything that no listed rule names is allowed.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,6 +29,9 @@ from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label:bad"
+RULES = "token string, others array<string>, confidence double, lift double, rows long"
+#: An index of at most so many rules is broadcast; a larger one is joined by a shuffle.
+BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,44 +97,68 @@ def listed_rule(host: Column, path: Column, rules: tuple[ListedRule, ...], field
     return result
 
 
-def mine_rules(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, min_rows: int = 20) -> DataFrame:
-    """rule_id, size and token: one row per token of each mined rule that implies a bad page.
+def least_confidence(share: Column, rows: Column, z: float) -> Column:
+    """Lower bound of the score interval of a share among ``rows``."""
+    centre = share + z * z / (2 * rows)
+    spread = z * F.sqrt((share * (1 - share) + z * z / (4 * rows)) / rows)
+    return (centre - spread) / (1 + z * z / rows)
+
 
-    ``urls`` has url and bad (boolean). FP-growth runs distributed over all labelled rows.
+def mine_rules(urls: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 1.5, z: float = 1.96) -> DataFrame:
+    """token, others, confidence, lift and rows of each mined rule that implies a bad page; ``token`` is its rarest.
+
+    ``urls`` has url and bad (boolean). FP-growth runs distributed over all labelled rows. A rule is
+    sure if the lower bound of its confidence (``z`` standard errors) is ``min_confidence`` or more.
+    Fewer rows than ``z * z * c / (1 - c)`` for that confidence c cannot show any rule to be sure,
+    whatever they say; the support floor is not set below that, and no rule is lost by it.
     """
     items = urls.where("bad is not null and url is not null").select(
         F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
     )
     items = materialize(items)
     n = items.count()
-    schema_like = items.sparkSession.createDataFrame([], "rule_id long, size int, token string")
     if n == 0:
-        return schema_like
-    support = max(min_support, min(1.0, min_rows / n))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items).associationRules
-    sure = rules.where((F.size("consequent") == 1) & F.array_contains("consequent", BAD) & (F.col("lift") >= min_lift))
-    # Each mined rule has at least `support` of the rows, which bounds their number, not with the rows.
-    numbered = sure.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
-    return materialize(numbered.distinct())
-
-
-def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct values of ``url`` that have all tokens of a mined rule."""
-    tokens = urls.where("url is not null").select("url").distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    hits = tokens.join(rules, "token").groupBy("url", "rule_id").agg(F.count("*").alias("found"), F.first("size").alias("size"))
-    return hits.where("found = size").select("url").distinct()
+        return items.sparkSession.createDataFrame([], RULES)
+    needed = z * z * min_confidence / (1 - min_confidence)
+    support = min(1.0, max(min_support, needed / n))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    implied = model.associationRules.where((F.size("consequent") == 1) & F.array_contains("consequent", BAD) & (F.col("lift") >= min_lift))
+    rows = F.round(F.col("support") * n / F.col("confidence")).cast("long")
+    sure = implied.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", rows.alias("rows"))
+    sure = materialize(sure.where(least_confidence(F.col("confidence"), F.col("rows"), z) >= min_confidence).where(F.size("antecedent") > 0))
+    # A rule that has all tokens of a shorter one blocks nothing that the shorter does not; found by the shorter's first token.
+    longer = sure.select("antecedent", F.explode("antecedent").alias("first"))
+    shorter = sure.select(F.col("antecedent")[0].alias("first"), F.col("antecedent").alias("less"))
+    implied_by = (F.size("less") < F.size("antecedent")) & (F.size(F.array_intersect("less", "antecedent")) == F.size("less"))
+    redundant = longer.join(shorter, "first").where(implied_by).select("antecedent").distinct()
+    kept = sure.join(redundant, "antecedent", "left_anti")
+    # Frequencies of single tokens are frequent item sets of one.
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    ranked = kept.select("*", F.explode("antecedent").alias("token")).join(single, "token")
+    rarest = ranked.groupBy("antecedent", "confidence", "lift", "rows").agg(F.min(F.struct("freq", "token"))["token"].alias("token"))
+    return materialize(rarest.select("token", F.array_remove("antecedent", F.col("token")).alias("others"), "confidence", "lift", "rows"))
 
 
 def judge_urls(pages: DataFrame, mined: DataFrame, rules: tuple[ListedRule, ...] = LISTED) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of ``pages`` (page_id, url)."""
+    """page_id, host, path, rule and verdict of every row of ``pages`` (page_id, url).
+
+    Rows that a mined rule may block are numbered, and their tokens meet the index; a row's matches are
+    summed up where the row lies, before its number is shuffled, so a URL that many rows share is no hot key.
+    """
     url = F.col("url")
     parsed = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
     named = parsed.withColumn("rule", listed_rule(F.col("host"), F.col("path"), rules, "name"))
     named = named.withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules, "verdict"))
-    bad = matched_urls(named.where("rule is null"), mined).select(F.col("url").alias("bad_url"))
-    joined = named.join(bad, (F.col("url") == F.col("bad_url")) & F.col("rule").isNull(), "left")
-    verdict = F.coalesce("listed", F.when(F.col("bad_url").isNotNull(), "block").otherwise("allow"))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    index = mined.select("token", "others")
+    if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        index = F.broadcast(index)
+    listed = named.where("rule is not null").select("page_id", "host", "path", "rule", F.col("listed").alias("verdict"))
+    open_ = named.where("rule is null").select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", url_tokens(url).alias("tokens"))
+    met = open_.select("*", F.explode_outer("tokens").alias("token")).join(index, "token", "left")
+    fits = F.col("others").isNotNull() & (F.size(F.array_except("others", "tokens")) == 0)
+    judged = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("bad"))
+    found = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
+    return listed.unionByName(found)
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
