@@ -1,135 +1,53 @@
 """Licence scans: a trained paragraph classifier over word n-grams, confirmed by templates.
 
-A paragraph is a line. Its features are the word n-grams (one to three words) of the licence
-notices below. A paragraph without an anchor such as "licen" or "copyright" is no notice, and is
-dismissed before anything is computed for it. A sparse multinomial logistic regression, trained on
-the templates with Spark ML, gives each class a weight per n-gram. Besides the licence families there are the classes ``unknown`` (a licence notice of no
-known family) and ``none``. The probabilities are calibrated by one temperature, fitted on held-out
-notices. A predicted family is confirmed if the paragraph holds enough of the word n-grams of one of
-its templates.
-
-Scanning is a projection of built-in expressions over the whole text: no shuffle, no Python. A null
-or empty text has no paragraphs. Repeated rows give repeated results; an empty table an empty one.
+A paragraph ends at an empty line (or one of comment marks only) and at a line that ends a sentence, so
+a notice that is wrapped over lines is read as a whole. Its features are word n-grams (one to three
+words) of the notices in ``licence_texts``. A sparse multinomial logistic regression gives each class a
+weight per n-gram; besides the licence families there are the classes ``unknown`` (a licence notice of
+no known family) and ``none``. Probabilities are calibrated by one temperature, fitted on references that
+were not trained on; a family is only believed from a probability on that keeps licences apart which
+belong to no family and were not trained on. It must also be confirmed: the paragraph holds enough of
+the word n-grams of one of the family's templates. Other notices are reported as ``unknown``.
+
+The weights themselves say which paragraphs can be a notice at all: those with an n-gram that speaks
+more for some licence class than for ``none``. Each such n-gram is looked for by its rarest word, and
+only paragraphs with one of these words are scored; no other could have been predicted as a notice.
+
+Scanning is made of built-in expressions over whole texts of any length, with no Python; only the
+paragraphs that can be a notice are written and shuffled. A null or empty text has no
+paragraphs. Of classes that are equally likely the first in the model's order is predicted. Repeated
+rows give repeated results; other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import evaluated_once, materialize
+from . import licence_texts as texts
+from .common import materialize
 
 NONE, UNKNOWN = "none", "unknown"
-
-# Notices by which the licence families are recognised.
-NOTICES = {
-    "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Distributed under the MIT License. See LICENSE for more information.",
-        "SPDX-License-Identifier: MIT",
-        "The MIT License (MIT)",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Released under the Apache License, Version 2.0.",
-        "This work is licensed under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Distributed under the Apache License, Version 2.0.",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Licensed under the GNU General Public License, version 2.",
-        "Released under the GNU General Public License.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "Licensed under the GNU GPL, version 3 or later.",
-        "This is free software under the GNU Lesser General Public License.",
-    ],
-    "bsd": [
-        "Licensed under the BSD 3-Clause License.",
-        "Released under the BSD License.",
-        "This work is licensed under the 2-clause BSD license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    ],
-    "mpl": [
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Released under the Mozilla Public License.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "cc-by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY-SA 4.0.",
-        "Released under the Creative Commons Attribution ShareAlike License.",
-        "Text is available under the CC BY license.",
-    ],
-    "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "Released under CC BY-NC 3.0.",
-        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
-        "Licensed under CC BY-NC-SA 4.0.",
-        "This work is licensed under CC BY-NC-ND 4.0.",
-    ],
-    "public-domain": [
-        "This work is released into the public domain.",
-        "Dedicated to the public domain under CC0 1.0.",
-        "SPDX-License-Identifier: CC0-1.0",
-        "This is free and unencumbered software released into the public domain. The Unlicense.",
-        "No rights reserved, public domain.",
-    ],
-    UNKNOWN: [
-        "All rights reserved.",
-        "Copyright 2020 the authors. All rights reserved.",
-        "Licensed under the terms of the licence agreement.",
-        "This work is licensed under a proprietary license.",
-        "Released under a custom license, version 1.",
-        "Licensed under the Example Community License, version 4.",
-        "Use of this text is subject to the license of the publisher.",
-        "Copyright by the publisher, license on request.",
-        "No permission to copy, redistribute or modify without written consent of the copyright holder.",
-        "This software is provided without warranty of any kind.",
-    ],
-    NONE: [
-        "",
-        "he renewed the driving licence of his brother",
-        "a licensed doctor works under the general rules of the public hospital",
-        "students of MIT and other schools met in spring",
-        "the apache helicopter landed near the river",
-        "permission was given by the teacher to leave early",
-        "with your permission we will release the birds",
-        "the warranty of the car ended in version two of the contract",
-        "the gnu grazed on the general plain with the zebra",
-        "copyright law was discussed in the lecture on history",
-        "the public library released a list of new books under the roof",
-        "mozilla is a name of a browser company",
-        "goods were redistributed among the villages",
-        "the license plate of the truck was red",
-    ],
-}
-# What an anchor word starts with.
-ANCHORS = ["licen[cs]", "unlicen", "copyright", "redistribut", "warrant", "permission", "spdx", "creative commons", "rights reserved", "public domain"]
-
 WORD = "[a-z]+[0-9]*|[0-9]+"
-#: A paragraph is looked at only if this is found in it.
-ANCHOR_IN_TEXT = rf"(?i)(?:{'|'.join(ANCHORS)})"
+PARAGRAPH_END = r"""\n(?:[ \t]*[#*/;%]*[ \t]*\r?\n)+|(?<=[.!?])["')]*[ \t]*\r?\n"""
 #: Share of a template's n-grams that a paragraph must hold to confirm its family.
 CONFIRMED_AT = 0.5
+#: Paragraphs without a notice that one notice may have between its paragraphs.
+GAP = 2
+#: Among the licences of no family that calibrate, so many may still be taken for one.
+STRANGERS_BELIEVED = 0.1
 
 
 def grams_of(paragraph: str) -> list[str]:
-    """The distinct word n-grams of a template, as ``paragraph_grams`` finds them."""
+    """The distinct word n-grams of a text, as ``paragraph_grams`` finds them."""
     words = re.findall(WORD, paragraph.lower())
     return sorted({" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)})
 
@@ -142,88 +60,152 @@ def paragraph_grams(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(words, two, three))
 
 
-@dataclass(frozen=True)
-class LicenceModel:
-    """Weights per class for the n-grams that have any, and the temperature of the probabilities."""
-
-    classes: tuple[str, ...]
-    weights: dict[str, tuple[float, ...]]
-    intercepts: tuple[float, ...]
-    temperature: float
-
+def references(frames: list[str]) -> list[tuple[str, str]]:
+    """(family, text) of short references."""
+    return [(family, frame.format(name)) for family, names in texts.NAMES.items() for name in names for frame in frames]
 
-def class_powers(logits: Column, temperature: float) -> Column:
-    """What the probabilities of an array of logits are in proportion to; the largest is 1."""
-    return F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / temperature))
 
+def with_halves(text: str) -> list[str]:
+    """A text, and each half of its words if it is long."""
+    words = text.split(" ")
+    half = len(words) // 2
+    return [text] if len(words) < 12 else [text, " ".join(words[:half]), " ".join(words[half:])]
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
+def training_texts() -> list[tuple[str, str]]:
+    """(class, text) of everything that the model is trained on."""
+    notices = [(family, part) for family, paragraphs in texts.NOTICES.items() for notice in paragraphs for part in with_halves(notice)]
+    strange = [part for text in texts.STRANGE for part in with_halves(text)] + [frame.format(name) for frame in texts.FRAMES for name in texts.INVENTED]
+    strange += [frame.format(holder) for frame in texts.RIGHTS for holder in texts.HOLDERS]
+    prose = [frame.format(trap) for trap in texts.TRAPS for frame in texts.SENTENCES] + texts.PROSE
+    return notices + references(texts.FRAMES) + [(UNKNOWN, text) for text in strange] + [(NONE, text) for text in prose]
 
-def fit_licences(spark: SparkSession, l1: float = 0.002, temperatures: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)) -> LicenceModel:
-    """Train on the notices; their number is fixed, so nothing here grows with the corpus."""
-    classes = tuple(NOTICES)
-    vocabulary = sorted({g for notices in NOTICES.values() for notice in notices for g in grams_of(notice)})
-    rows = [(classes.index(name), i, grams_of(notice)) for name, notices in NOTICES.items() for i, notice in enumerate(notices)]
-    # Each notice also occurs with a word taken away, and inside other words, so that no single word decides.
-    varied = [(c, i, [g for g in grams if word not in g.split(" ")]) for c, i, grams in rows for word in grams if " " not in word]
-    frame = spark.createDataFrame(rows + varied, "label int, notice int, grams array<string>")
-    vectorised = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=0.0).setBinary(True)
-    data = materialize(vectorised.transform(frame).select(F.col("label").cast("double"), "notice", "features"))
-    lasso = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=l1, maxIter=80)
 
-    held = lasso.fit(data.where("notice % 4 <> 1")).transform(data.where("notice % 4 = 1"))
-    held = held.select("label", vector_to_array("rawPrediction").alias("logits"))
+def templates() -> dict[str, list[list[str]]]:
+    """The n-grams of two and three words of each family's notices and names."""
+    found = {}
+    for family, paragraphs in texts.NOTICES.items():
+        grams = [[g for g in grams_of(text) if " " in g] for text in paragraphs + [f"under {name}" for name in texts.NAMES[family]]]
+        found[family] = [own for own in grams if own]
+    return found
 
-    def loss(temperature: float) -> Column:
-        powers = class_powers(F.col("logits"), temperature)
-        of_label = F.element_at(powers, F.col("label").cast("int") + 1) / total(powers)
-        return F.avg(-F.log(F.greatest(of_label, F.lit(1e-12)))).alias(str(temperature))
 
-    losses = [loss(t) for t in temperatures]
-    measured = held.agg(*losses).first()
-    temperature = min(temperatures, key=lambda t: measured[str(t)])
+@dataclass(frozen=True)
+class LicenceModel:
+    """Weights per class for the n-grams that have any, the temperature of the probabilities, and from where on a family is believed."""
 
-    model = lasso.fit(data)
+    classes: tuple[str, ...]
+    weights: dict[str, tuple[float, ...]]
+    intercepts: tuple[float, ...]
+    temperature: float
+    believed_at: float
+
+    def triggers(self) -> list[str]:
+        """Words of which a paragraph must have one to be predicted as anything but ``none``."""
+        none = self.classes.index(NONE)
+        if any(own > self.intercepts[none] for own in self.intercepts):
+            raise ValueError("a text without n-grams must be no notice")
+        common = Counter(word for name, text in training_texts() if name == NONE for word in set(re.findall(WORD, text.lower())))
+        words: set[str] = set()
+        speaking = [gram for gram, own in self.weights.items() if max(own) > own[none]]
+        for gram in sorted(speaking, key=lambda g: (g.count(" "), g)):
+            own = gram.split(" ")
+            if not words & set(own):
+                words.add(min(own, key=lambda word: (word in texts.FUNCTION_WORDS or word.isdigit(), common[word], -len(word), word)))
+        return sorted(words)
+
+
+def trigger_pattern(words: list[str]) -> str:
+    """A pattern that finds any of ``words`` as a whole word; words are grouped by their first letter."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:] + ("(?![0-9])" if word[-1].isdigit() else "(?![a-z0-9])"))
+    return "(?i)(?<![a-z])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items())) + ")"
+
+
+def fit_licences(spark: SparkSession, l1: float = 0.0015, temperatures: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)) -> LicenceModel:
+    """Train on the fixed texts; their number is fixed, so nothing here grows with the corpus."""
+    rows = training_texts()
+    classes = (*texts.NOTICES, UNKNOWN, NONE)
+    spoken = {g for name, text in rows if name != NONE for g in grams_of(text)}
+    vocabulary = sorted(g for g in spoken if not all(word in texts.FUNCTION_WORDS or word.isdigit() for word in g.split(" ")))
+    vectoriser = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=0.0).setBinary(True)
+
+    def vectors(some: list[tuple[str, str]]) -> DataFrame:
+        frame = spark.createDataFrame([(float(classes.index(name)), grams_of(text)) for name, text in some], "label double, grams array<string>")
+        return materialize(vectoriser.transform(frame.coalesce(1)).select("label", "features"))
+
+    model = LogisticRegression(family="multinomial", elasticNetParam=0.8, regParam=l1, maxIter=60).fit(vectors(rows))
+    held = model.transform(vectors(references(texts.HELD_FRAMES) + [(UNKNOWN, text) for text in texts.LEFT_OUT]))
+    judged = [(int(row["label"]), row["logits"]) for row in held.select("label", vector_to_array("rawPrediction").alias("logits")).collect()]
+
+    def probabilities(logits: list[float], temperature: float) -> list[float]:
+        powers = [math.exp((x - max(logits)) / temperature) for x in logits]
+        return [power / sum(powers) for power in powers]
+
+    def loss(temperature: float) -> float:
+        return -sum(math.log(max(probabilities(logits, temperature)[label], 1e-12)) for label, logits in judged)
+
+    temperature = min(temperatures, key=loss)
+    unknown = classes.index(UNKNOWN)
+    strange = sorted(max(p for i, p in enumerate(probabilities(logits, temperature)) if i < unknown) for label, logits in judged if label == unknown)
+    believed_at = max(0.5, strange[max(0, int(len(strange) * (1 - STRANGERS_BELIEVED)) - 1)])
     matrix = model.coefficientMatrix.toArray()
     weights = {gram: tuple(map(float, matrix[:, j])) for j, gram in enumerate(vocabulary) if abs(matrix[:, j]).max() > 1e-9}
-    return LicenceModel(classes, weights, tuple(map(float, model.interceptVector.toArray())), temperature)
+    return LicenceModel(classes, weights, tuple(map(float, model.interceptVector.toArray())), temperature, min(believed_at, 0.95))
+
+
+def scored_paragraphs(docs: DataFrame, model: LicenceModel, gated: bool = True) -> DataFrame:
+    """row, doc_id, paragraph, notice, predicted, probability, similarity, confirmed of every paragraph that is predicted as a notice.
+
+    ``row`` tells rows apart that repeat a doc_id. Without ``gated`` every paragraph is scored. N-grams meet
+    the weights and the templates in joins with these tables of a fixed size.
+    """
+    spark = docs.sparkSession
+    columns = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pattern = trigger_pattern(model.triggers()) if gated else ""
+    lines = columns.where(F.col("text").rlike(pattern)).select("row", "doc_id", F.posexplode(F.split("text", PARAGRAPH_END)).alias("paragraph", "notice"))
+    lines = materialize(lines.where(F.col("notice").rlike(pattern)))
+    grams = lines.select("row", "paragraph", F.explode(paragraph_grams(F.col("notice"))).alias("gram"))
+
+    names = [f"c{i}" for i in range(len(model.classes))]
+    weights = spark.createDataFrame([(gram, *own) for gram, own in model.weights.items()], "gram string, " + ", ".join(f"{name} double" for name in names))
+    sums = [(F.sum(name) + F.lit(bias)).alias(name) for name, bias in zip(names, model.intercepts, strict=True)]
+    logits = grams.join(F.broadcast(weights), "gram").groupBy("row", "paragraph").agg(*sums)
+    most = F.greatest(*names)
+    powers = [F.exp((F.col(name) - most) / model.temperature) for name in names]
+    predicted = F.coalesce(*(F.when(F.col(name) == most, label) for name, label in zip(names, model.classes, strict=True)))
+    likely = logits.select("row", "paragraph", predicted.alias("predicted"), (1 / sum(powers[1:], powers[0])).alias("probability")).where(F.col("predicted") != NONE)
+
+    rows = [(gram, family, i, len(own)) for family, many in templates().items() for i, own in enumerate(many) for gram in own]
+    held = grams.join(F.broadcast(spark.createDataFrame(rows, "gram string, predicted string, template int, size int")), "gram")
+    shares = held.groupBy("row", "paragraph", "predicted", "template").agg((F.count("*") / F.first("size")).alias("share"))
+    similar = shares.groupBy("row", "paragraph", "predicted").agg(F.max("share").alias("similarity"))
+    scored = likely.join(similar, ["row", "paragraph", "predicted"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    confirmed = (F.col("similarity") >= CONFIRMED_AT) & (F.col("probability") >= model.believed_at)
+    return scored.join(lines, ["row", "paragraph"]).select("row", "doc_id", "paragraph", "notice", "predicted", "probability", "similarity", confirmed.alias("confirmed"))
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Licence paragraphs of whole texts: doc_id, paragraph, family, predicted, probability, similarity, confirmed, notice.
+    """Licence notices of whole texts: doc_id, paragraph, paragraphs, family, predicted, probability, similarity, confirmed, notice.
 
-    ``paragraph`` counts lines from 0. ``predicted`` is the classifier's class and ``similarity`` the
-    largest share of a template's n-grams of that class that the paragraph holds. ``family`` is the
-    predicted family if the templates confirm it, else ``unknown``; ``unknown`` is never confirmed.
+    A notice may have several paragraphs: those that follow one another with at most ``GAP`` others
+    between them, until another family is confirmed. ``paragraph`` is the number of its first (from 0),
+    ``paragraphs`` how many were found. The other columns are those of its surest paragraph: ``predicted``
+    is the classifier's class, ``similarity`` the largest share of the n-grams of one of that class's
+    templates that the paragraph holds, ``family`` the predicted class if it is confirmed, else ``unknown``.
     """
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = columns.where(F.col("text").rlike(ANCHOR_IN_TEXT)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "notice"))
-    lines = evaluated_once(lines.where(F.col("notice").rlike(ANCHOR_IN_TEXT)), "grams", paragraph_grams(F.col("notice")))
-
-    keys = sorted(model.weights)
-    # Constants of a fixed size: the weights of the n-grams, and the templates' n-grams.
-    table = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.array(*map(F.lit, model.weights[k])) for k in keys)))
-    known = F.array_intersect(F.col("grams"), F.array(*map(F.lit, keys)))
-    logits = F.aggregate(known, F.array(*map(F.lit, model.intercepts)), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-    scored = evaluated_once(lines, "logits", logits)
-    scored = evaluated_once(scored, "powers", class_powers(F.col("logits"), model.temperature))
-    scored = scored.withColumn("probability", F.array_max("powers") / total(F.col("powers")))
-    best = F.array_position("powers", F.array_max("powers")).cast("int")
-    scored = scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, model.classes)), best)).where(F.col("predicted") != NONE)
-
-    def containment(template: str) -> Column:
-        own = [g for g in grams_of(template) if " " in g]
-        return F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, own)))) / len(own)
-
-    similarity = F.lit(0.0)
-    for name, notices in NOTICES.items():
-        if name not in (NONE, UNKNOWN):
-            similarity = F.when(F.col("predicted") == name, F.greatest(*map(containment, notices))).otherwise(similarity)
-    scored = scored.withColumn("similarity", similarity).withColumn("confirmed", F.col("similarity") >= CONFIRMED_AT)
-    family = F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN)
-    return scored.select(
-        "doc_id", "paragraph", family.alias("family"), "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"),
-        "confirmed", "notice",
+    found = scored_paragraphs(docs, model).withColumn("own", F.when(F.col("confirmed"), F.col("predicted")))
+    order = Window.partitionBy("row").orderBy("paragraph")
+    apart = F.coalesce(F.col("paragraph") - F.lag("paragraph").over(order), F.lit(0)) > GAP + 1
+    before = F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("begins", (apart | (F.col("own") != before)).cast("int"))
+    numbered = marked.withColumn("number", F.sum(F.coalesce("begins", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    surest = F.max_by(F.struct("predicted", "probability", "similarity", "confirmed", "notice"), F.struct("confirmed", "similarity", "probability", -F.col("paragraph")))
+    notices = numbered.groupBy("row", "number").agg(
+        F.first("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), F.count("*").cast("int").alias("paragraphs"), surest.alias("best")
+    )
+    return notices.select(
+        "doc_id", "paragraph", "paragraphs", F.when(F.col("best.confirmed"), F.col("best.predicted")).otherwise(UNKNOWN).alias("family"), F.col("best.predicted").alias("predicted"),
+        F.round("best.probability", 6).alias("probability"), F.round("best.similarity", 6).alias("similarity"), F.col("best.confirmed").alias("confirmed"), F.col("best.notice").alias("notice"),
     )
