@@ -409,8 +409,11 @@ def test_languages_of_held_out_documents(spark, docs, odd):
         assert (row["lang_pred"] == "und") == (not any(c.isalpha() for c in text or "")) and 0 <= row["score"] <= 1
     assert language.predict_languages(empty(docs), profiles).isEmpty()
     assert language.fit_profiles(empty(docs), F.lit(True)) == []
-    kept = language.keep_languages(odd, profiles)
+    kept = language.keep_languages(odd, profiles, 0.0)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, None, 6, 7, 8, 9}
+    scores = {r["doc_id"]: r["score"] for r in language.predict_languages(odd, profiles).collect()}
+    nearer = {r["doc_id"] for r in language.keep_languages(odd, profiles).collect()}
+    assert nearer == {i for i, score in scores.items() if score >= language.LEAST_SCORE} and 7 not in nearer  # "lorem ipsum" is in no learned language
     assert language.keep_languages(docs, []).isEmpty()
     own = {r["lang"]: r["text"] for r in docs.where("lang is not null and length(text) between 300 and 900").collect()}
     foreign = "pitkästä aikaa olemme täällä tänään ja huomenna taas kotona sydäntälven pyörteissä"
