@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, materialize
+from .common import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,18 +14,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node links its larger neighbours to the
     smallest node it knows (large star), then its smaller neighbours likewise (small star). A step
     only keeps as many edges as it got, and the number of rounds grows with the logarithm of the
-    graph's size. The edges of a node with very many are rewritten where they lie. There is no limit to the rounds, so no component is left divided. The driver sees
-    three numbers per round.
+    graph's size. There is no limit to the rounds, so no component is left divided. The driver sees
+    three numbers per round. Edges are held from the larger node to the smaller, and only nodes with
+    a smaller neighbour are looked up; an edge whose lower node has none stays as it is, so the
+    centre of a star is no key that its edges have to meet at.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")))
-        large = joined_by_key(both, smallest, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
-        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        pairs = joined_by_key(large, lowest, "a", "n")
+        lower = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = edges.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        pairs = large.join(lowest, "a")
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("m").alias("b")))
         edges = materialize(small.distinct())
         # A set of stars has one edge per node, and no centre that has an edge itself.
