@@ -130,9 +130,9 @@ def test_heat_of_a_stream_equals_heat_of_the_batch(spark, tmp_path):
     spark.range(300).select(F.col("id").alias("value")).repartition(3).write.parquet(folder)
     stream = spark.readStream.schema("value long").option("maxFilesPerTrigger", 1).parquet(folder)
     draws = heat_stream.draws_of(stream, SHAPE.depth, SHAPE.height, SHAPE.width, 42)
-    query = heat_stream.heat_stream(draws, voxels, 2.0).writeStream.format("memory").queryName("heat").outputMode("complete").trigger(availableNow=True).start()
+    query = heat_stream.heat_stream(draws, voxels, 2.0, SHAPE.height).writeStream.format("memory").queryName("heat").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    batch = heat_stream.heat_stream(heat_stream.draws_of(spark.read.parquet(folder), SHAPE.depth, SHAPE.height, SHAPE.width, 42), voxels, 2.0)
+    batch = heat_stream.heat_stream(heat_stream.draws_of(spark.read.parquet(folder), SHAPE.depth, SHAPE.height, SHAPE.width, 42), voxels, 2.0, SHAPE.height)
     assert {tuple(r) for r in spark.table("heat").collect()} == {tuple(r) for r in batch.collect()}
 
 

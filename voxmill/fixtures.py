@@ -14,7 +14,6 @@ DEPTH = 7
 STACK_WIDTH = 15
 DAYS = 30
 SEED = 42
-SERIES_ROWS = 2048
 DRAWS = 2000
 POINTS = 24
 
@@ -49,11 +48,11 @@ def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str, period: int = 0) -> DataFrame:
-    """(i, v): the first values by id, with 400 added at every ``period``-th."""
+    """(i, v): all values by id, with 400 added at every ``period``-th."""
     value = F.col("value")
     if period:
         value = value + F.when(F.col("event_id") % period == 0, 400).otherwise(0)
-    return read(spark, sf_dir, "events").where(F.col("event_id") < SERIES_ROWS).select(F.col("event_id").alias("i"), value.alias("v"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), value.alias("v"))
 
 
 def controls(spark: SparkSession) -> DataFrame:

@@ -20,13 +20,19 @@ def hash16(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)).cast("binary")), 1, 4), 16, 10).cast("int")
 
 
+def hash32(*parts: Column | int | str) -> Column:
+    """As ``hash16``, from 0..4294967295."""
+    columns = [part if isinstance(part, Column) else F.lit(part) for part in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def linear_index(width: int, height: int, z: str = "z", y: str = "y", x: str = "x") -> Column:
     return F.col(z).cast("long") * (width * height) + F.col(y) * width + F.col(x)
 
 
-def depth_of(length: Column, width: int, height: int, bytes_per_voxel: int = 2) -> Column:
-    """Planes in a raw file of ``length`` bytes."""
-    return F.floor(length / (width * height * bytes_per_voxel))
+def voxel_value(value: Column) -> Column:
+    """A number cut to 16 bit."""
+    return F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(65535.0))).cast("int")
 
 
 def corner_weight(corner: Column, part: Column) -> Column:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns (frames or features) up to which the Gram matrix is decomposed in one place.
@@ -44,11 +45,14 @@ def gram_matrix(rows: DataFrame, columns: int) -> np.ndarray:
                 total += a.T @ a
         yield pd.DataFrame({"i": np.arange(columns, dtype=np.int32), "line": list(total)})
 
+    def add(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "line": [np.sum(np.stack(lines["line"].to_numpy()), axis=0)]})
+
     parts = rows.select("trace").mapInPandas(partial, "i int, line array<double>")
-    sums = parts.select("i", F.posexplode("line").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    sums = parts.groupBy("i").applyInPandas(add, "i int, line array<double>").toArrow()  # columns^2 numbers, bounded by MAX_COLUMNS
     gram = np.zeros((columns, columns))
-    for row in sums.collect():  # columns^2 numbers, bounded by MAX_COLUMNS
-        gram[row["i"], row["j"]] = row["g"]
+    if len(sums):
+        gram[sums.column("i").to_numpy()] = sums.column("line").combine_chunks().flatten().to_numpy().reshape(-1, columns)
     return gram
 
 
@@ -72,12 +76,19 @@ def truncated_svd(px: DataFrame, columns: int, k: int) -> Svd:
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(len(kept))] < 0, -1.0, 1.0)
     vt = spark.createDataFrame([(i, t, float(v[t, i])) for i in range(len(kept)) for t in range(columns)], "k int, t int, val double")
     table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "k int, val double")
-    basis = F.array(*(F.struct(F.lit(i).alias("k"), F.array(*(F.lit(float(x)) for x in v[:, i] / s[i])).alias("w")) for i in range(len(kept)))) if len(kept) else None
-    if basis is None:
+    if not len(kept):
         return Svd(spark.createDataFrame([], "row long, k int, val double"), vt, table, 0)
-    spread = rows.select("row", "trace", F.explode(basis).alias("b"))
-    dot = F.aggregate(F.zip_with("trace", F.col("b.w"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return Svd(spread.select("row", F.col("b.k").alias("k"), dot.alias("val")), vt, table, len(kept))
+    basis = spark.sparkContext.broadcast(v / s)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            traces_ = batch.column("trace").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+            parts = traces_ @ basis.value
+            ids = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), parts.shape[1])
+            k = np.tile(np.arange(parts.shape[1], dtype=np.int32), len(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(k), pa.array(parts.reshape(-1))], names=["row", "k", "val"])
+
+    return Svd(rows.select("row", "trace").mapInArrow(project, "row long, k int, val double"), vt, table, len(kept))
 
 
 def save(svd: Svd, path: str) -> None:
@@ -86,7 +97,8 @@ def save(svd: Svd, path: str) -> None:
         getattr(svd, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load(spark, path: str) -> Svd:
+def load(spark: SparkSession, path: str) -> Svd:
+    """Factors that ``save`` kept."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("u", "vt", "s")}
     return Svd(**tables, rank=tables["s"].count())
 

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import AXES, distance
+
 #: Point sets of at most this size are solved on the driver; larger ones by rounds of joins.
 DRIVER_POINTS = 2000
+#: Edges of a tree up to which its paths are walked on the driver (as arrays of 20 bytes an edge).
+TREE_EDGES = 5_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; on a single machine without it, a temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return configured or tempfile.mkdtemp(prefix="voxmill-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the checkpoint folder that the cluster names, or to a temporary one if it names none."""
+    """Write to the shared checkpoint folder and read from it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxmill-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -45,24 +58,64 @@ def minimum_spanning_tree(points: DataFrame) -> DataFrame:
     """(u, w, d) edges of a minimum spanning tree of ``points`` (idx from 0, z, y, x)."""
     rows = points.orderBy("idx").limit(DRIVER_POINTS + 1).collect()
     if len(rows) > DRIVER_POINTS:
-        from .neighbours import pairwise_distances
-
-        return boruvka(pairwise_distances(points))
+        return tree_by_distance(points)
     edges = prim(np.array([[row["z"], row["y"], row["x"]] for row in rows], dtype=float).reshape(-1, 3))
     ids = [row["idx"] for row in rows]
     return points.sparkSession.createDataFrame([(ids[u], ids[w], d) for u, w, d in edges], "u int, w int, d double")
 
 
-def boruvka(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(u, w, d): a minimum spanning forest of the undirected ``edges`` (u, w, d), by rounds of joins.
+def close_pairs(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """(u, w, d), u < w, of ``probes`` and ``points`` (idx, comp, z, y, x) of different comp within ``reach``, by grid cells of that width."""
+    cells = [F.floor(F.col(a) / reach).alias(f"g{a}") for a in AXES]
+    right = points.select(F.col("idx").alias("w"), F.col("comp").alias("cw"), *(F.col(a).alias(f"b{a}") for a in AXES), *cells)
+    left = probes.select(F.col("idx").alias("u"), F.col("comp").alias("cu"), *(F.col(a).alias(f"a{a}") for a in AXES), *cells)
+    for a in AXES:
+        left = left.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"g{a}") + step for step in (-1, 0, 1)))))
+    met = left.join(right, [f"g{a}" for a in AXES]).where("cu <> cw").withColumn("d", distance("a", "b")).where(F.col("d") <= reach)
+    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w"), "d").distinct()
+
+
+def tree_by_distance(points: DataFrame) -> DataFrame:
+    """(u, w, d): a minimum spanning tree of points whose pairs are too many to be listed.
+
+    Edges up to a length are found by a grid and connect what they can; then longer ones are looked
+    for, but only from the points outside the largest component. An edge that is longer than another
+    is never needed between parts that shorter ones connect, so the result is that of all pairs.
+    """
+    # The first length is about the distance of neighbours where most points are, so that pairs stay in proportion to points.
+    middle = [quartiles[1] - quartiles[0] for quartiles in points.approxQuantile(list(AXES), [0.25, 0.75], 0.01)]
+    reach = float((np.prod([max(float(width), 1e-3) for width in middle]) / max(points.count() / 8, 1)) ** (1 / 3))
+    placed = cut_lineage(points.select("idx", *AXES))
+    labels = cut_lineage(placed.select(F.col("idx").alias("node"), F.col("idx").alias("comp")))
+    picked: DataFrame | None = None
+    while True:
+        labelled = placed.join(labels, F.col("idx") == F.col("node")).select("idx", "comp", *AXES)
+        sizes = labels.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()
+        if len(sizes) < 2:
+            return picked if picked is not None else points.sparkSession.createDataFrame([], "u int, w int, d double")
+        pairs = cut_lineage(close_pairs(labelled.where(F.col("comp") != sizes[0]["comp"]), labelled, reach))
+        new, labels = merge_rounds(pairs, labels)
+        if new is not None:
+            picked = new if picked is None else cut_lineage(picked.unionByName(new))
+        reach *= 2
+
+
+def boruvka(edges: DataFrame) -> DataFrame:
+    """(u, w, d): a minimum spanning forest of the undirected ``edges`` (u, w, d), by rounds of joins."""
+    edges = cut_lineage(edges)
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("w").alias("node"))).distinct()
+    picked, _ = merge_rounds(edges, cut_lineage(nodes.withColumn("comp", F.col("node"))))
+    return picked if picked is not None else edges.limit(0)
+
+
+def merge_rounds(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(picked edges or None, labels) once no edge of ``edges`` (u, w, d) leads to another component of ``labels`` (node, comp).
 
     Every component picks its least edge, by (d, u, w); picked edges join components, whose labels
     then shrink to one by pointer jumping. The number of components at least halves in a round.
     """
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("w").alias("node"))).distinct()
-    labels = cut_lineage(nodes.withColumn("comp", F.col("node")))
     picked: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         a = labels.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         b = labels.select(F.col("node").alias("w"), F.col("comp").alias("cw"))
         crossing = edges.join(a, "u").join(b, "w").where("cu <> cw")
@@ -72,22 +125,42 @@ def boruvka(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         least = cut_lineage(sides.groupBy("comp").agg(F.min_by("to", F.struct("e.d", "e.u", "e.w")).alias("to"), F.min(F.struct("e.d", "e.u", "e.w")).alias("e")))
         if least.isEmpty():
-            break
+            return picked, labels
         new = least.select("e.u", "e.w", "e.d").distinct()
         picked = new if picked is None else picked.unionByName(new)
-        # Each component points at the one it joins; of two that point at each other, the lower is the root.
-        back = least.select(F.col("comp").alias("to"), F.col("to").alias("back"))
-        parents = least.select("comp", "to").join(back, "to", "left")
-        parents = parents.select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
-        parents = cut_lineage(parents.distinct())
-        while True:
-            up = parents.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-            jumped = cut_lineage(parents.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            parents = jumped.select("comp", "root")
-            if jumped.where("moved").isEmpty():
-                break
+        if least.count() <= TREE_EDGES:
+            parents = roots_on_driver(least)
+        else:
+            parents = roots_by_joins(least)
         labels = cut_lineage(labels.join(parents, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-    return picked if picked is not None else edges.limit(0)
+
+
+def roots_on_driver(least: DataFrame) -> DataFrame:
+    """(comp, root) of components that each point at another (comp, to), of a checked number."""
+    table = least.select("comp", "to").orderBy("comp").toArrow()
+    comp, to = table.column("comp").to_numpy(), table.column("to").to_numpy()
+    at = np.minimum(np.searchsorted(comp, to), len(comp) - 1)
+    up = np.where(comp[at] == to, at, -1)  # a component without an edge of its own is a root
+    back = (up >= 0) & (up[up] == np.arange(len(comp))) & (comp < to)
+    root = np.where(up < 0, to, comp)
+    up = np.where(back | (up < 0), np.arange(len(comp)), up)  # of two that point at each other, the lower is the root
+    while (up[up] != up).any():
+        up = up[up]
+    return least.sparkSession.createDataFrame(pa.table({"comp": comp, "root": root[up]}))
+
+
+def roots_by_joins(least: DataFrame) -> DataFrame:
+    """As ``roots_on_driver``, by pointer jumping."""
+    back = least.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+    parents = least.select("comp", "to").join(back, "to", "left")
+    parents = parents.select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
+    parents = cut_lineage(parents.distinct())
+    while True:
+        up = parents.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+        jumped = cut_lineage(parents.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        parents = jumped.select("comp", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
 
 
 def tree_reach(edges: DataFrame, root: int) -> DataFrame:
@@ -142,14 +215,19 @@ def diameter_path(edges: list[tuple[int, int, float]], start: int = 0) -> tuple[
 
 
 def tree_edges(edges: DataFrame) -> list[tuple[int, int, float]]:
-    """The edges of a tree of sample size, on the driver."""
-    rows = edges.limit(DRIVER_POINTS).collect()
-    return [(row["u"], row["w"], row["d"]) for row in rows]
+    """The edges of a tree, on the driver; a larger tree than ``TREE_EDGES`` is refused, never cut (see ``tree_reach``)."""
+    held = cut_lineage(edges.select("u", "w", "d"))
+    if held.count() > TREE_EDGES:
+        raise ValueError(f"a tree of more than {TREE_EDGES} edges is walked by tree_reach()")
+    table = held.toArrow()
+    return list(zip(*(table.column(c).to_pylist() for c in ("u", "w", "d")), strict=True))
 
 
 def backbone(spark: SparkSession, points: DataFrame) -> DataFrame:
     """(idx, node, z, y, x): the points along the diameter of the spanning tree, renumbered from 0."""
-    held = {row["idx"]: row for row in points.limit(DRIVER_POINTS).collect()}
-    path, _ = diameter_path(tree_edges(minimum_spanning_tree(points)), min(held)) if len(held) > 1 else (list(held), 0.0)
-    rows = [(i, node, *(float(held[node][a]) for a in ("z", "y", "x"))) for i, node in enumerate(path)]
-    return spark.createDataFrame(rows, "idx int, node int, z double, y double, x double")
+    least = points.agg(F.min("idx")).first()[0]
+    edges = tree_edges(minimum_spanning_tree(points))
+    path = diameter_path(edges, least)[0] if edges else [least] if least is not None else []
+    along = spark.createDataFrame(list(enumerate(path)), "idx int, node int")
+    places = points.select(F.col("idx").alias("node"), *(F.col(a).cast("double").alias(a) for a in AXES))
+    return along.join(places, "node").select("idx", "node", *AXES)

@@ -5,14 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import hash16, hash32
 from ..params import SvdParams
 from .graph import cut_lineage
-
-#: Pixels of a plane up to which masks are grown on the driver.
-MAX_PIXELS = 4_000_000
+from .sampling import seed_pixels
+
+#: Pixels of a plane up to which a fill runs on one bit map of it.
+MAX_PIXELS = 100_000_000
+#: Seeds that are drawn for each mask that is asked for, to begin with.
+SEEDS_PER_MASK = 16
+#: Draws after which a search for seeds is given up.
+MAX_DRAWS = 1 << 26
 STEPS = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
 
@@ -40,58 +47,93 @@ def flood(pixels: DataFrame, seeds: DataFrame, accept: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Masks:
-    """mask (m, y, x, val), bbox (m, xmin, xmax, ymin, ymax) and seed (m, row)."""
+    """mask (m, y, x, val), bbox (m, xmin, xmax, ymin, ymax), seed (m, row), and how many masks could be grown."""
 
     mask: DataFrame
     bbox: DataFrame
     seed: DataFrame
+    grown: int
+
+
+def loadings(u: DataFrame, parts: int) -> DataFrame:
+    """(px, load, mean_loading): components 1 to ``parts`` of each row of ``u`` (row, k, val) as an array, absent ones as 0."""
+    cells = u.where(F.col("k").between(1, parts)).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "val"))).alias("cells"))
+    load = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda k: F.coalesce(F.element_at("cells", k), F.lit(0.0)))
+    rows = cells.select(F.col("row").alias("px"), load.alias("load"))
+    return rows.withColumn("mean_loading", F.aggregate("load", F.lit(0.0), lambda a, x: a + x) / parts)
+
+
+def seed_draws(spark: SparkSession, n: int, pixels: int, seed: int) -> DataFrame:
+    """(d, px, u): ``n`` uniform pixels, each with a threshold from 0..65535."""
+    d = F.col("id")
+    return spark.range(n).select(d.alias("d"), (hash32(seed, 5, d) % pixels).alias("px"), hash16(seed, 6, d).alias("u"))
 
 
 def grow_masks(spark: SparkSession, u: DataFrame, params: SvdParams) -> Masks:
     """Masks from seeds whose components 1 .. colors - 1 resemble the pixels around them.
 
-    A mask's pixels stay owned by it, and no later seed may lie on an owned pixel, so masks follow one
-    another; a mask whose peak stays below 0.01 is given up, and its number tried again. The plane has
-    a checked size and is grown on arrays.
+    A seed is the next draw whose pixel belongs to no mask and has a mean loading above the draw's
+    threshold. A mask may take pixels of earlier ones, which keep them too; a mask whose peak stays below
+    0.01 is given up, and its number tried again, at most ``max_retries`` times over all masks.
+    Likeness is computed where the loadings lie; the driver holds a bit map of the plane, whose size is
+    checked, and gets the pixels that resemble one seed. A row outside the plane is refused.
     """
-    pixels = params.width * params.height
+    pixels, parts = params.width * params.height, params.colors - 1
     if pixels > MAX_PIXELS:
-        raise ValueError("the plane is too large to be grown on the driver; use flood()")
-    parts = params.colors - 1
-    loading = np.zeros((pixels, parts))
-    for row in u.where(F.col("k").between(1, parts) & (F.col("row") < pixels)).collect():
-        loading[row["row"], row["k"] - 1] = row["val"]
-    draws = np.random.default_rng(params.seed)
-    owner = np.zeros(pixels, dtype=np.int64)
-    means = loading.mean(axis=1)
-    rows: list[tuple] = []
+        raise ValueError("the plane is too large for one bit map; use flood()")
+    held = cut_lineage(loadings(u, parts))
+    last = held.agg(F.max("px")).first()[0]
+    if last is not None and last >= pixels:
+        raise ValueError(f"row {last} lies outside a plane of {params.width} x {params.height}")
+    owner = np.zeros(pixels, dtype=bool)
+    masks: list[pa.Table] = []
     boxes: list[tuple] = []
     seeds: list[tuple] = []
-    mask, tries = 0, 0
-    while mask < params.masks and tries < params.max_retries + params.masks:
-        tries += 1
-        free = np.flatnonzero((owner == 0) & (draws.random(pixels) / params.scale <= means))
-        if not len(free):
-            continue
-        seed = int(free[draws.integers(len(free))])
-        likeness = loading @ loading[seed] * params.scale**2
-        taken = fill((likeness > params.threshold) & (owner != mask + 1), params.width, seed)
-        owner[taken] = mask + 1
-        values = np.clip(likeness[taken] / params.colors, 0, 1)
-        if not len(taken) or values.max() < 0.01:
-            continue
-        ys, xs = np.divmod(taken, params.width)
-        rows += [(mask, int(y), int(x), float(v)) for y, x, v in zip(ys, xs, values, strict=True)]
-        boxes.append((mask, int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max())))
-        seeds.append((mask, seed))
-        mask += 1
+    tried, draws, retries = 0, 4096, 0
+    while len(seeds) < params.masks and retries <= params.max_retries and draws <= MAX_DRAWS:
+        free = spark.createDataFrame([], "px long")  # ownership changes with every mask and is asked of the bit map
+        found = seed_pixels(held, seed_draws(spark, draws, pixels, params.seed), free, params.scale, tried + SEEDS_PER_MASK * params.masks)
+        rows = found.join(held, "px").orderBy("d").select("px", "load").collect()  # a bounded number of seeds
+        for row in rows[tried:]:
+            tried += 1
+            if owner[row["px"]]:
+                continue
+            if len(seeds) == params.masks or retries > params.max_retries:
+                break
+            taken, likeness = resembling(held, row["load"], row["px"], params)
+            owner[taken] = True
+            values = np.clip(likeness / params.colors, 0, 1)
+            if not len(taken) or values.max() < 0.01:
+                retries += 1
+                continue
+            ys, xs = (part.astype(np.int32) for part in np.divmod(taken, params.width))
+            m = len(seeds)
+            masks.append(pa.table({"m": np.full(len(taken), m, dtype=np.int32), "y": ys, "x": xs, "val": values}))
+            boxes.append((m, int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max())))
+            seeds.append((m, row["px"]))
+        draws *= 4
+    none = pa.table({"m": np.empty(0, np.int32), "y": np.empty(0, np.int32), "x": np.empty(0, np.int32), "val": np.empty(0)})
     return Masks(
-        spark.createDataFrame(rows, "m int, y int, x int, val double"),
+        spark.createDataFrame(pa.concat_tables(masks or [none])),
         spark.createDataFrame(boxes, "m int, xmin int, xmax int, ymin int, ymax int"),
         spark.createDataFrame(seeds, "m int, row long"),
+        len(seeds),
     )
 
 
+def resembling(held: DataFrame, seed: list[float], at: int, params: SvdParams) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels, likeness) of what four-neighbour steps reach from ``at`` over pixels of ``held`` (px, load) that resemble the seed's loading."""
+    products = F.zip_with("load", F.array(*map(F.lit, seed)), lambda a, b: a * b)
+    likeness = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) * params.scale**2
+    table = held.select("px", likeness.alias("likeness")).where(F.col("likeness") > params.threshold).toArrow()
+    px, values = table.column("px").to_numpy(), table.column("likeness").to_numpy()
+    accepted = np.zeros(params.width * params.height, dtype=bool)
+    accepted[px] = True
+    taken = fill(accepted, params.width, at)
+    order = np.argsort(px)
+    return taken, values[order][np.searchsorted(px[order], taken)]
+
+
 def fill(accepted: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Indices that four-neighbour steps over ``accepted`` reach from ``seed``, level by level."""
     field = accepted.reshape(-1, width)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, distance
+from .graph import cut_lineage
 
 #: A control set of at most this many rows is broadcast; a larger one is joined by grid cells.
 BROADCAST_ROWS = 2000
@@ -27,11 +28,15 @@ def nearest(points: DataFrame, controls: DataFrame, key: str = "d") -> DataFrame
     """
     if controls.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return nearest_by_grid(points, controls, key)
-    c = controls.select(F.col("idx").alias("nn"), *(F.col(a).alias(f"c{a}") for a in AXES))
-    p = points.withColumnsRenamed({a: f"p{a}" for a in AXES})
-    measured = p.join(F.broadcast(c)).withColumn("far", distance("p", "c"))
-    kept = [F.first(x).alias(x) for x in p.columns if x != key]
-    return measured.groupBy(key).agg(F.min(F.struct("far", "nn"))["nn"].alias("nn"), *kept).withColumnsRenamed({f"p{a}": a for a in AXES})
+    packed = controls.agg(F.collect_list(F.struct(F.col("idx").alias("nn"), *(F.col(a).cast("double").alias(a) for a in AXES))).alias("controls"))
+
+    def away(control):
+        squares = [F.pow(F.col(a) - control[a], 2) for a in AXES]
+        return F.struct(F.sqrt(squares[0] + squares[1] + squares[2]).alias("far"), control["nn"].alias("nn"))
+
+    # One row of all controls is broadcast: a projection of the points, without a shuffle.
+    best = F.array_min(F.transform("controls", away))
+    return points.join(F.broadcast(packed)).select(*points.columns, best["nn"].alias("nn"))
 
 
 def nearest_by_grid(points: DataFrame, controls: DataFrame, key: str = "d", cell: float | None = None) -> DataFrame:
@@ -56,11 +61,11 @@ def nearest_by_grid(points: DataFrame, controls: DataFrame, key: str = "d", cell
         p = around.withColumnsRenamed({a: f"p{a}" for a in AXES})
         met = p.join(c, [f"g{a}" for a in AXES]).withColumn("far", distance("p", "c"))
         best = met.groupBy(key).agg(F.min(F.struct("far", "nn")).alias("best"))
-        sure = best if size > widest else best.where(F.col("best.far") <= size)
+        sure = cut_lineage(best if size > widest else best.where(F.col("best.far") <= size))
         found.append(left.join(sure.select(key, F.col("best.nn").alias("nn")), key))
         if size > widest:
             return reduce(DataFrame.unionByName, found)
-        left = left.join(sure, key, "left_anti")
+        left = cut_lineage(left.join(sure, key, "left_anti"))
         size *= 2
-        if left.limit(1).count() == 0:
+        if left.isEmpty():
             return reduce(DataFrame.unionByName, found)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, corner_weight
+from ..functions.geometry import AXES, corner_weight, voxel_value
 from ..params import StraightenParams
 
 
@@ -100,5 +100,4 @@ def nearest_voxel(points: DataFrame, voxels: DataFrame, shape: Shape, keys: list
 
 def as_voxels(values: DataFrame) -> DataFrame:
     """(z, y, x, v) from (k, j, i, val): cut to 16 bit."""
-    v = F.floor(F.least(F.greatest("val", F.lit(0.0)), F.lit(65535.0))).cast("int")
-    return values.select(F.col("k").alias("z"), F.col("j").alias("y"), F.col("i").alias("x"), v.alias("v"))
+    return values.select(F.col("k").alias("z"), F.col("j").alias("y"), F.col("i").alias("x"), voxel_value(F.col("val")).alias("v"))

@@ -43,10 +43,15 @@ def refreshed_sample(sample: DataFrame, accepted: DataFrame, k: int, n: int, see
     return sample.select("idx", "z", "y", "x").join(written, "idx", "left_anti").unionByName(written)
 
 
-def heat_map(hits: DataFrame, scale: float) -> DataFrame:
-    """(sy, sx, hits, heat) on a grid of ``scale`` voxels: n hits brighten a cell to min(255, 10 (2^n - 1))."""
-    cells = hits.groupBy(F.floor(F.col("y") / scale).cast("int").alias("sy"), F.floor(F.col("x") / scale).cast("int").alias("sx"))
-    return cells.agg(F.count("*").alias("hits")).withColumn("heat", heat_of(F.col("hits")))
+def screen_cell(scale: float, height: int) -> list:
+    """sy and sx of a voxel on a screen of ``scale`` voxels a cell, which is two rows higher than the volume and turned upside down."""
+    rows = int(height / scale + 2)
+    return [(rows - 1 - F.floor(F.col("y") / scale)).cast("int").alias("sy"), F.floor(F.col("x") / scale).cast("int").alias("sx")]
+
+
+def heat_map(hits: DataFrame, scale: float, height: int) -> DataFrame:
+    """(sy, sx, hits, heat) on a screen of ``scale`` voxels a cell: n hits brighten a cell to min(255, 10 (2^n - 1))."""
+    return hits.groupBy(*screen_cell(scale, height)).agg(F.count("*").alias("hits")).withColumn("heat", heat_of(F.col("hits")))
 
 
 def heat_of(hits):

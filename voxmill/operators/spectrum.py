@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values of a series that one task may transform.
+MAX_TRANSFORM = 1 << 24
+
+
 def lag_products(series: DataFrame, n: int, max_lag: int) -> DataFrame:
     """(lag, r): circular autocorrelation of ``series`` (i, v) with i from 0 to n - 1, for few lags, as a join."""
     lags = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
@@ -21,8 +25,11 @@ def lag_products(series: DataFrame, n: int, max_lag: int) -> DataFrame:
 def autocorrelation(series: DataFrame, n: int, max_lag: int, center: bool = False) -> DataFrame:
     """(lag, r) for all lags up to ``max_lag`` (less than n), by the power spectrum of the first n values.
 
-    n is a parameter of the program (100,000 by default): the transform takes one task.
+    n is a parameter of the program (100,000 by default): the transform takes one task, and more than
+    MAX_TRANSFORM values are refused.
     """
+    if n > MAX_TRANSFORM:
+        raise ValueError(f"a transform of more than {MAX_TRANSFORM} values does not fit one task")
 
     def transform(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values = np.zeros(n)

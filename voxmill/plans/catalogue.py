@@ -8,7 +8,6 @@ checked by the tests.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,15 +22,13 @@ from ..functions.geometry import AXES, linear_index
 from ..operators import contour, factor, graph, grow, neighbours, resample, sampling, spectrum, spline, stats
 from ..params import DimensionsParams, SamplerParams, StraightenParams, SvdParams
 from ..sources import images, raw_volume, text_files
-from . import programs
+from . import outputs, programs
 
 Build = Callable[[SparkSession, str], DataFrame]
 SHAPE = resample.Shape(fx.DEPTH, fx.HEIGHT, fx.WIDTH)
 LAGS, TOP, BEST_WIDTH, PERIOD = 64, 50, 24, 16
 EXTRA, OUT_WIDTH = 4, 4
 FRAME_KEYS = ["k", "j", "i"]
-#: Products of the series have four decimals; this keeps their sums away from halves when rounded to two.
-OFF_TIES = 0.00003
 
 
 @dataclass(frozen=True)
@@ -59,8 +56,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 # Parts of statements.
 VOX = f"vox as ({fx.VOX_SQL})"
 STACK = f"stack as ({fx.STACK_SQL})"
-SERIES = f"series as (select event_id i, value v from events where event_id < {fx.SERIES_ROWS})"
-SERIES_P = f"series as (select event_id i, value + case when event_id % {PERIOD} = 0 then 400 else 0 end v from events where event_id < {fx.SERIES_ROWS})"
+SERIES = "series as (select event_id i, value v from events)"
+SERIES_P = f"series as (select event_id i, value + case when event_id % {PERIOD} = 0 then 400 else 0 end v from events)"
 
 
 def sql_hash(*parts: object) -> str:
@@ -128,36 +125,42 @@ def voxel_linear_id(spark, sf_dir):
     return fx.voxels(spark, sf_dir).select(linear_index(fx.WIDTH, fx.HEIGHT).alias("id"), "z", "y", "x", "v")
 
 
+# Values have two decimals and their products four, so sums that are rounded to four are the exact ones.
 @register("acf_topk", f"""with {SERIES}, n as (select count(*) n from series), lags as (select cast(range as int) lag from range(1, {LAGS + 1}))
-select lag, round(sum(a.v * b.v) + {OFF_TIES}, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag order by sum(a.v * b.v) desc, lag limit {TOP}""")
+select lag, round(sum(a.v * b.v), 4) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag order by sum(a.v * b.v) desc, lag limit {TOP}""")
 def acf_topk(spark, sf_dir):
     values = fx.series(spark, sf_dir)
-    return rounded(spectrum.top_lags(spectrum.lag_products(values, values.count(), LAGS), TOP).withColumn("r", F.col("r") + OFF_TIES), "r", digits=2)
+    return rounded(spectrum.top_lags(spectrum.lag_products(values, values.count(), LAGS), TOP), "r", digits=4)
 
 
 @register("acf_spectrum", f"""with {SERIES}, n as (select count(*) n from series), lags as (select cast(range as int) lag from range(1, {LAGS + 1}))
-select lag, round(sum(a.v * b.v) + {OFF_TIES}, 2) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag""")
+select lag, round(sum(a.v * b.v), 4) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n group by lag""")
 def acf_spectrum(spark, sf_dir):
     values = fx.series(spark, sf_dir)
-    return rounded(spectrum.autocorrelation(values, values.count(), LAGS).withColumn("r", F.col("r") + OFF_TIES), "r", digits=2)
+    return rounded(spectrum.autocorrelation(values, values.count(), LAGS), "r", digits=4)
 
 
-@register("shape_candidates", f"""with {SERIES_P}, n as (select count(*) n from series), lags as (select cast(range as int) lag from range(1, {fx.SERIES_ROWS})),
-acf as (select lag, sum(a.v * b.v) r from lags, n, series a join series b on b.i = (a.i + lag) % n.n where lag < n.n group by lag),
-best as (select lag w from acf where lag <= {BEST_WIDTH} order by r desc, lag limit 1),
-cand as (select w, cast(range as int) h from best, range(1, {fx.SERIES_ROWS}), n where w * range <= n.n and n.n % (w * range) = 0)
-select w width, h height, cast(n.n // (w * h) as int) depth, round(r + {OFF_TIES}, 2) score from cand cross join n left join acf on lag = w * h and w * h < n.n""")
+#: The statement sums up only the lags that a candidate can ask for.
+SHAPES = f"""with {SERIES_P}, n as (select count(*) n from series),
+early as (select lag, sum(a.v * b.v) r from range(1, {BEST_WIDTH + 1}) l(lag), n, series a join series b on b.i = (a.i + lag) % n.n where lag < n.n group by lag),
+best as (select cast(lag as int) w from early order by r desc, lag limit 1),
+cand as (select w, cast(h.range as int) h from best, n, range(1, 100000) h where w * h.range <= n.n and n.n % (w * h.range) = 0 and h.range < n.n),
+late as (select w * h lag, sum(a.v * b.v) r from cand, n, series a join series b on b.i = (a.i + w * h) % n.n where w * h < n.n group by w * h),
+found as (select w width, h height, cast(n.n // (w * h) as int) depth, round(r, 4) score from cand cross join n left join late on lag = w * h)"""
+
+
+@register("shape_candidates", f"{SHAPES} select * from found")
 def shape_candidates(spark, sf_dir):
     values = fx.series(spark, sf_dir, PERIOD)
     n = values.count()
     found = spectrum.shape_candidates(spectrum.autocorrelation(values, n, n - 1), n, n, n - 1, BEST_WIDTH)
-    return rounded(found.withColumn("score", F.col("score") + OFF_TIES), "score", digits=2)
+    return rounded(found, "score", digits=4)
 
 
-@register("infer_shape")
+@register("infer_shape", f"{SHAPES} select width, height, depth, case when width * height <= {BEST_WIDTH} then score end score from found where height <= {BEST_WIDTH}")
 def infer_shape(spark, sf_dir):
     values = fx.series(spark, sf_dir, PERIOD)
-    return programs.infer_shape(values, values.count(), DimensionsParams(max_dim=BEST_WIDTH))
+    return rounded(programs.infer_shape(values, values.count(), DimensionsParams(max_dim=BEST_WIDTH)), "score", digits=4)
 
 
 @register("vox_moments", f"with {VOX} select count(v) n, round(avg(v), 6) mean, round(stddev_samp(v), 6) sd, min(v) least, max(v) most from vox")
@@ -186,7 +189,7 @@ def sample_refresh(spark, sf_dir):
     return sampling.refreshed_sample(points(spark, sf_dir), accepted.where(F.col("d") > last), 12, fx.POINTS, fx.SEED)
 
 
-@register("heat_map", f"""with {VOX}, {DRAWS} select cast(floor(y / 2.0) as int) sy, cast(floor(x / 2.0) as int) sx, count(*) hits,
+@register("heat_map", f"""with {VOX}, {DRAWS} select cast({fx.HEIGHT // 2 + 1} - floor(y / 2.0) as int) sy, cast(floor(x / 2.0) as int) sx, count(*) hits,
     cast(least(255, 10 * (pow(2.0, least(count(*), 10)) - 1)) as int) heat from accepted group by 1, 2""")
 def heat_map(spark, sf_dir):
     return programs.sample_heat(spark, fx.voxels(spark, sf_dir), fx.DEPTH, fx.DRAWS, SamplerParams(fx.WIDTH, fx.HEIGHT, 2.0), fx.SEED)
@@ -203,20 +206,16 @@ def stack_gram(spark, sf_dir):
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.stack(spark, sf_dir).where("px < 10").select(F.col("px").alias("m"), "t", F.col("v").cast("double").alias("val"))
+    return fx.stack(spark, sf_dir).select(F.col("px").alias("m"), "t", F.col("v").cast("double").alias("val"))
 
 
-SIGNALS = f"{STACK}, signals as (select px m, t, cast(v as double) val from stack where px < 10)"
+SIGNALS = f"{STACK}, signals as (select px m, t, cast(v as double) val from stack)"
 
 
 @register("delayed_corr", f"""with {SIGNALS}, lags as (select cast(range as int) lag from range(0, 4))
 select a.m a, b.m b, lag, round(corr(a.val, b.val), 6) r from signals a, lags, signals b where b.t = a.t + lag group by 1, 2, 3 having count(*) > 2""")
 def delayed_corr(spark, sf_dir):
-    own = signals(spark, sf_dir)
-    found = rounded(stats.delayed_correlation(own, 3), "r")
-    pairs = own.select(F.col("m").alias("a"), "t", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lag")).withColumn("tb", F.col("t") + F.col("lag"))
-    enough = pairs.join(own.select(F.col("m").alias("b"), F.col("t").alias("tb")), "tb").groupBy("a", "b", "lag").count().where("count > 2").drop("count")
-    return found.join(enough, ["a", "b", "lag"])
+    return rounded(stats.delayed_correlation(signals(spark, sf_dir), 3, least=3), "r")
 
 
 @register("signal_rescale", f"with {SIGNALS} select m, t, round((val - (select min(val) from signals)) / ((select avg(val) from signals) - (select min(val) from signals)), 6) val from signals")
@@ -462,22 +461,41 @@ def seed_trace(spark, sf_dir):
     return factor.seed_trace(factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, 10), 3, 10)
 
 
-CELLS = SvdParams(fx.STACK_WIDTH, 10, dim=20, colors=8, masks=6, scale=20.0, threshold=0.2)
+def cell_params(px: DataFrame) -> SvdParams:
+    """Parameters for a stack whose plane is as high as its pixels ask for."""
+    height = int(px.agg(F.max("px")).first()[0]) // fx.STACK_WIDTH + 1
+    return SvdParams(fx.STACK_WIDTH, height, dim=20, colors=8, masks=6, scale=20.0, threshold=0.2)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> programs.Cells:
+    px = fx.stack(spark, sf_dir)
+    return programs.find_cells(spark, px, fx.DAYS, cell_params(px))
 
 
 @register("cell_masks")
 def cell_masks(spark, sf_dir):
-    return programs.find_cells(spark, fx.stack(spark, sf_dir), fx.DAYS, CELLS).masks.mask
+    return cells(spark, sf_dir).masks.mask
 
 
 @register("cell_frames")
 def cell_frames(spark, sf_dir):
-    return programs.find_cells(spark, fx.stack(spark, sf_dir), fx.DAYS, CELLS).frames
+    return cells(spark, sf_dir).frames
+
+
+@register("pixel_colours")
+def pixel_colours(spark, sf_dir):
+    return cells(spark, sf_dir).pixel_colours
 
 
 @register("component_shapes")
 def component_shapes(spark, sf_dir):
-    return programs.colour_shapes(fx.stack(spark, sf_dir), fx.DAYS, CELLS)[1]
+    px = fx.stack(spark, sf_dir)
+    return programs.colour_shapes(px, fx.DAYS, cell_params(px))[1]
+
+
+@register("component_stack")
+def component_stack(spark, sf_dir):
+    return outputs.component_stack(factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, 5))
 
 
 @register("region_grow", f"""with recursive {VOX}, median_ as (select avg(v) level from vox where z = 3), field as (select y, x from vox, median_ where z = 3 and v > 0.9 * level),
@@ -608,16 +626,29 @@ def palette(spark, sf_dir):
     return rounded(stats.palette(spark.range(20).select(F.col("id").cast("int").alias("k")), fx.SEED), "r", "g", "b")
 
 
-@register("additive_blend", f"""with {MASKS}, {STACK}, sig as (select px m, t, cast(v as double) / 3000 light from stack where px < {fx.DEPTH} and t < 4),
+@register("additive_blend", f"""with {MASKS}, {STACK}, sig as (select px m, t, cast(v as double) / 3000 light from stack),
 lit as (select t, y, x, m / 7.0e0 c, 0.5e0 s, light * val l from masks join sig using (m)),
 {rgb_sql(f'select t, y, x, l * 0.7e0 light, sin({ANGLE}) * (s * 0.426e0) a, cos({ANGLE}) * (s * 0.426e0) b from lit')},
 added as (select t, y, x, sum(cx) cx, sum(cy) cy, sum(cz) cz from xyz group by 1, 2, 3) select t, y, x, {RGB} from added""")
 def additive_blend(spark, sf_dir):
-    own = fx.stack(spark, sf_dir).where(f"px < {fx.DEPTH} and t < 4").select(F.col("px").alias("m"), "t", (F.col("v").cast("double") / 3000).alias("val"))
+    own = fx.stack(spark, sf_dir).select(F.col("px").alias("m"), "t", (F.col("v").cast("double") / 3000).alias("val"))
     colours = spark.range(fx.DEPTH).select(F.col("id").cast("int").alias("m"), (F.col("id") / 7.0).alias("hue"), F.lit(0.5).alias("saturation"))
     return stats.additive_blend(masks(spark, sf_dir), own, colours)
 
 
+@register("coloured_stack", f"""with {STACK}, size as (select cast(max(px) // {fx.STACK_WIDTH} + 1 as bigint) * {fx.STACK_WIDTH} n from stack),
+dense as (select cast(t.range as int) z, p.range row_, coalesce(v, 0) v from size, range(0, {fx.DAYS}) t(range), range(0, 1000000) p(range) left join stack on stack.px = p.range and stack.t = t.range where p.range < size.n),
+white as (select avg(v) + 3 * stddev_samp(v) white from dense),
+lit as (select z, cast(row_ // {fx.STACK_WIDTH} as int) y, cast(row_ % {fx.STACK_WIDTH} as int) x, (row_ % 7) / 7.0e0 c, (row_ % 5) / 5.0e0 s, least(greatest(v / white, 0), 1) l from dense, white),
+{rgb_sql(f'select z, y, x, l * 0.7e0 light, sin({ANGLE}) * (s * 0.426e0) a, cos({ANGLE}) * (s * 0.426e0) b from lit')} select z, y, x, {RGB} from xyz""")
+def coloured_stack(spark, sf_dir):
+    px = fx.stack(spark, sf_dir)
+    dense = outputs.dense_stack(px, fx.DAYS, cell_params(px))
+    row = F.col("row")
+    colours = dense.where("z = 0").select("row", ((row % 7) / 7.0).alias("hue"), ((row % 5) / 5.0).alias("saturation"))
+    return outputs.coloured_stack(dense, colours, fx.STACK_WIDTH)
+
+
 @register("spline_tsv", f"with {CONTROLS} select idx, printf('%.10f', z) || chr(9) || printf('%.10f', y) || chr(9) || printf('%.10f', x) line from controls")
 def spline_tsv(spark, sf_dir):
     return text_files.control_lines(fx.controls(spark))
@@ -629,10 +660,9 @@ def bbox_json(spark, sf_dir):
     return text_files.box_json(grow.bounding_boxes(masks(spark, sf_dir)))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new local folder for files that all tasks write to; the cluster's shared one if it names one."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    folder = os.path.join(base, f"voxmill-{uuid.uuid4().hex}")
+def new_folder(spark: SparkSession) -> str:
+    """A new folder for files that all tasks write to, among what the cluster shares."""
+    folder = os.path.join(graph.shared_folder(spark).removeprefix("file://"), f"voxmill-{uuid.uuid4().hex}")
     os.makedirs(folder)
     return folder
 
@@ -641,7 +671,7 @@ def shared_folder(spark: SparkSession) -> str:
     from range(0, {fx.DEPTH}) z(range), range(0, {fx.HEIGHT}) y(range), range(0, {fx.WIDTH}) x(range)
     left join vox on vox.z = z.range and vox.y = y.range and vox.x = x.range""")
 def raw_roundtrip(spark, sf_dir):
-    path = os.path.join(shared_folder(spark), "volume.raw")
+    path = os.path.join(new_folder(spark), "volume.raw")
     raw_volume.write_raw(fx.voxels(spark, sf_dir), path, fx.DEPTH, fx.HEIGHT, fx.WIDTH)
     raw_volume.register(spark)
     return spark.read.format("rawvol").options(width=fx.WIDTH, height=fx.HEIGHT, planesPerPartition=2).load(path)
@@ -650,3 +680,4 @@ def raw_roundtrip(spark, sf_dir):
 @register("plane_images")
 def plane_images(spark, sf_dir):
     return images.images(images.grey_planes(fx.voxels(spark, sf_dir)), "z", fx.HEIGHT, fx.WIDTH)
+

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES
+from ..functions.geometry import AXES, voxel_value
 from ..operators import contour, factor, graph, grow, resample, sampling, spectrum, spline, stats
 from ..params import DimensionsParams, SamplerParams, StraightenParams, SvdParams
 
@@ -23,7 +24,7 @@ def infer_shape(series: DataFrame, length: int, params: DimensionsParams) -> Dat
 def sample_heat(spark: SparkSession, voxels: DataFrame, depth: int, draws: int, params: SamplerParams, seed: int = 42) -> DataFrame:
     """The heat map after a number of draws."""
     drawn = sampling.uniform_draws(spark, draws, depth, params.height, params.width, seed)
-    return sampling.heat_map(sampling.accepted_draws(voxels, drawn), params.scale)
+    return sampling.heat_map(sampling.accepted_draws(voxels, drawn), params.scale, params.height)
 
 
 @dataclass(frozen=True)
@@ -77,31 +78,57 @@ def straighten(spark: SparkSession, voxels: DataFrame, shape: resample.Shape, pa
 
 @dataclass(frozen=True)
 class Cells:
+    """Factors, masks as grown and as scaled, signals as summed and as scaled (``traces``), colours, and coloured frames."""
+
     svd: factor.Svd
     masks: grow.Masks
+    scaled: DataFrame
     signals: DataFrame
+    traces: DataFrame
+    colours: DataFrame
+    pixel_colours: DataFrame
     frames: DataFrame
 
 
-def find_cells(spark: SparkSession, px: DataFrame, time: int, params: SvdParams) -> Cells:
+def factors(px: DataFrame, time: int, dim: int, cache: str | None = None) -> factor.Svd:
+    """The first ``dim`` components of a stack; kept under ``cache``, and read from there if they were kept before."""
+    spark = px.sparkSession
+    if cache is None:
+        return factor.truncated_svd(px, time, dim)
+    if not kept_before(spark, cache):
+        factor.save(factor.truncated_svd(px, time, dim), cache)
+    return factor.load(spark, cache)
+
+
+def kept_before(spark: SparkSession, cache: str) -> bool:
+    """Whether ``cache`` has all factors; the singular values are written last."""
+    try:
+        spark.read.parquet(f"{cache}/s")
+    except AnalysisException:
+        return False
+    return True
+
+
+def find_cells(spark: SparkSession, px: DataFrame, time: int, params: SvdParams, cache: str | None = None) -> Cells:
     """Masks of pixels with alike traces, their traces, and coloured frames, from a stack (px, t, v)."""
-    svd = factor.truncated_svd(px, time, params.dim)
+    svd = factors(px, time, params.dim, cache)
     masks = grow.grow_masks(spark, svd.u, params)
     weights = svd.u.join(F.broadcast(svd.s.withColumnRenamed("val", "s")), "k").where(F.col("k").between(1, params.colors - 1))
-    components = weights.join(F.broadcast(masks.seed), "row").select("m", "k", (F.col("val") * F.col("s")).alias("val"))
+    weights = weights.select("row", "k", (F.col("val") * F.col("s")).alias("val"))
+    components = weights.join(F.broadcast(masks.seed), "row").select("m", "k", "val")
     signals = components.join(svd.vt.withColumnRenamed("val", "vt"), "k").groupBy("m", "t").agg(F.sum(F.col("val") * F.col("vt")).alias("val"))
     directions = stats.component_directions(svd.s, params.seed)
     shares = components.withColumn("val", F.col("val") / (50 * params.colors))
     colours = stats.scaled_saturation(stats.component_colours(shares, directions, "m"))
+    pixel_colours = stats.scaled_saturation(stats.component_colours(weights, directions, "row"))
     scaled = stats.rescaled_masks(masks.mask, params.masks * params.width * params.height)
-    frames = stats.additive_blend(scaled, stats.rescaled_signals(signals), colours)
-    return Cells(svd, masks, signals, frames)
+    traces = stats.rescaled_signals(signals)
+    return Cells(svd, masks, scaled, signals, traces, colours, pixel_colours, stats.additive_blend(scaled, traces, colours))
 
 
-def colour_shapes(px: DataFrame, time: int, params: SvdParams) -> tuple[DataFrame, DataFrame]:
+def colour_shapes(px: DataFrame, time: int, params: SvdParams, cache: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reconstruction (row, t, v), shapes (row, r, g, b)) of a stack by its first components."""
-    svd = factor.truncated_svd(px, time, params.dim)
-    v = F.floor(F.least(F.greatest("val", F.lit(0.0)), F.lit(65535.0))).cast("int")
+    svd = factors(px, time, params.dim, cache)
     weights = svd.u.join(F.broadcast(svd.s.withColumnRenamed("val", "s")), "k").select("row", "k", (F.col("val") * F.col("s")).alias("val"))
     coloured = stats.component_shapes(weights.where(F.col("k").between(1, params.colors - 1)), stats.palette(svd.s, params.seed), params.colors)
-    return factor.reconstruct(svd).select("row", "t", v.alias("v")), coloured
+    return factor.reconstruct(svd).select("row", "t", voxel_value(F.col("val")).alias("v")), coloured

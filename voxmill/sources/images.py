@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -32,11 +33,16 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
-def images(pixels: DataFrame, key: str, height: int, width: int, channels: tuple[str, ...] = ("v",)) -> DataFrame:
-    """(key, png): one image per value of ``key`` from (key, y, x, channels...) of 0..255; missing pixels are 0."""
+def images(pixels: DataFrame, key: str, height: int, width: int, channels: tuple[str, ...] = ("v",), behind: tuple[str, ...] = ()) -> DataFrame:
+    """(key, png): one image per value of ``key`` from (key, y, x, channels...) of 0..255.
+
+    Missing pixels are 0, or what the columns ``behind`` say in any row of the image.
+    """
 
     def draw(of, frame):
         image = np.zeros((height, width, len(channels)), dtype=np.uint8)
+        if behind:
+            image[:] = frame[list(behind)].iloc[0].to_numpy()
         image[frame["y"], frame["x"]] = np.clip(frame[list(channels)].to_numpy(), 0, 255)
         return pd.DataFrame({key: [of[0]], "png": [encode_png(image)]})
 
@@ -50,15 +56,27 @@ def grey_planes(voxels: DataFrame) -> DataFrame:
     return voxels.join(F.broadcast(one)).select("z", "y", "x", shade.cast("int").alias("v"))
 
 
-def write_images(pictures: DataFrame, key: str, folder: str, name: str = "%04d.png") -> None:
-    """Write each image of (key, png) to ``folder``, which driver and executors share."""
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each row of (name, content) to its own file below ``folder``, which driver and executors share.
+
+    A file appears under its name only when it is whole, so a task that is run again does no harm.
+    """
     os.makedirs(folder, exist_ok=True)
 
     def put(frames):
         for frame in frames:
-            for of, png in zip(frame[key], frame["png"], strict=True):
-                with open(os.path.join(folder, name % of), "wb") as file:
-                    file.write(png)
-            yield frame[[key]]
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write(content)
+                os.replace(part, path)
+            yield frame[["name"]]
 
-    pictures.mapInPandas(put, f"{key} int").write.format("noop").mode("overwrite").save()
+    files.select("name", "content").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_images(pictures: DataFrame, key: str, folder: str, name: str = "%04d.png") -> None:
+    """Write each image of (key, png) to ``folder``."""
+    write_files(pictures.select(F.format_string(name, key).alias("name"), F.col("png").alias("content")), folder)

@@ -114,19 +114,40 @@ def as_planes(voxels: DataFrame, height: int, width: int) -> DataFrame:
     return voxels.groupBy("z").applyInPandas(pack, "z int, height int, width int, data binary")
 
 
-def write_raw(voxels: DataFrame, path: str, depth: int, height: int, width: int) -> None:
-    """Write a volume: the file gets its length first, then every task writes its planes in their place."""
-    size = height * width * VOXEL.itemsize
+def write_pieces(pieces: DataFrame, path: str, size: int) -> None:
+    """Write a file of ``size`` bytes from (at, data): it gets its length first, then every task writes its pieces in their place.
+
+    A task that is run again writes the same bytes to the same places.
+    """
     with open(path, "wb") as file:
-        file.truncate(depth * size)
+        file.truncate(size)
 
     def put(frames):
         for frame in frames:
             with open(path, "r+b") as file:
-                for z, data in zip(frame["z"], frame["data"], strict=True):
-                    file.seek(int(z) * size)
+                for at, data in zip(frame["at"], frame["data"], strict=True):
+                    file.seek(int(at))
                     file.write(data)
-            yield frame[["z"]]
+            yield frame[["at"]]
+
+    pieces.select("at", "data").mapInPandas(put, "at long").write.format("noop").mode("overwrite").save()
 
+
+def write_raw(voxels: DataFrame, path: str, depth: int, height: int, width: int) -> None:
+    """Write a volume (z, y, x, v); missing voxels are 0."""
+    size = height * width * VOXEL.itemsize
     planes = as_planes(voxels.where(F.col("z").between(0, depth - 1)), height, width)
-    planes.mapInPandas(put, "z int").write.format("noop").mode("overwrite").save()
+    write_pieces(planes.select((F.col("z").cast("long") * size).alias("at"), "data"), path, depth * size)
+
+
+def write_rgb(pixels: DataFrame, path: str, height: int, width: int) -> None:
+    """Write one plane (y, x, r, g, b) as three bytes a pixel, row after row; missing pixels are 0."""
+
+    def pack(key, frame):
+        import pandas as pd
+
+        line = np.zeros((width, 3), dtype=np.uint8)
+        line[frame["x"].to_numpy()] = frame[["r", "g", "b"]].to_numpy()
+        return pd.DataFrame({"at": [int(key[0]) * width * 3], "data": [line.tobytes()]})
+
+    write_pieces(pixels.groupBy("y").applyInPandas(pack, "at long, data binary"), path, height * width * 3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,7 @@ def box_json(boxes: DataFrame) -> DataFrame:
 
 
 def shape_json(width: int, height: int, time: int) -> str:
-    import json
-
+    """The size of a stack."""
     return json.dumps({"width": width, "height": height, "time": time})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hash16
-from ..operators.sampling import heat_of
+from ..operators.sampling import accepted_draws, heat_map
 
 
 def draws_of(stream: DataFrame, depth: int, height: int, width: int, seed: int) -> DataFrame:
@@ -21,11 +21,9 @@ def draws_of(stream: DataFrame, depth: int, height: int, width: int, seed: int)
     )
 
 
-def heat_stream(draws: DataFrame, voxels: DataFrame, scale: float) -> DataFrame:
+def heat_stream(draws: DataFrame, voxels: DataFrame, scale: float, height: int) -> DataFrame:
     """(sy, sx, hits, heat) of the accepted draws so far, for output in update or complete mode.
 
     The state has one row per screen cell, so it is bounded by the screen and needs no watermark.
     """
-    hits = draws.join(voxels, ["z", "y", "x"]).where("v > u")
-    cells = hits.groupBy(F.floor(F.col("y") / scale).cast("int").alias("sy"), F.floor(F.col("x") / scale).cast("int").alias("sx"))
-    return cells.agg(F.count("*").alias("hits")).withColumn("heat", heat_of(F.col("hits")))
+    return heat_map(accepted_draws(voxels, draws), scale, height)
