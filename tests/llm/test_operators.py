@@ -305,6 +305,25 @@ def test_components_of_a_long_chain_and_of_no_edges(spark):
     assert components.connected_components(empty(edges)).isEmpty()
 
 
+def test_components_of_random_graphs_and_of_stars_around_their_largest_node(spark):
+    rng = np.random.default_rng(4)
+    graphs = [rng.integers(-300, 300, (400, 2)).tolist(), rng.integers(-1000, 1000, (700, 2)).tolist(), [[1000, i] for i in range(400)]]
+    for graph in graphs:
+        least = {}
+
+        def root(node, least=least):
+            while least.setdefault(node, node) != node:
+                node = least[node]
+            return node
+
+        for a, b in (pair for pair in graph if pair[0] != pair[1]):
+            low, high = sorted((root(a), root(b)))
+            least[high] = low
+        found = components.connected_components(spark.createDataFrame(graph, "a long, b long")).collect()
+        assert {r["node"]: r["component"] for r in found} == {node: root(node) for node in list(least)}
+        assert len(found) == len(least)
+
+
 # 9: fingerprints
 
 MASK = (1 << 64) - 1

@@ -11,27 +11,28 @@ from .common import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); the component is its smallest node.
 
-    Alternates two steps until nothing changes: every node links its larger neighbours to the
+    Alternates two steps until only stars are left: every node links its larger neighbours to the
     smallest node it knows (large star), then its smaller neighbours likewise (small star). A step
     only keeps as many edges as it got, and the number of rounds grows with the logarithm of the
     graph's size. There is no limit to the rounds, so no component is left divided. The driver sees
-    three numbers per round. Edges are held from the larger node to the smaller, and only nodes with
+    one row per round. Edges are held from the larger node to the smaller, and only nodes with
     a smaller neighbour are looked up; an edge whose lower node has none stays as it is, so the
     centre of a star is no key that its edges have to meet at.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not only_stars(edges):
         lower = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        large = edges.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(lowest, "a")
-        small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct())
-        # A set of stars has one edge per node, and no centre that has an edge itself.
-        now = edges.agg(F.count("*"), F.countDistinct("a"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before and now[0] == now[1]:
-            break
-        before = now
+        # Repeated edges are left until both steps are done: there are no more rows than edges before.
+        large = edges.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        pairs = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = pairs.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("edge"))
+        edges = materialize(small.select("edge.a", "edge.b").where("a <> b").distinct())
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
+
+
+def only_stars(edges: DataFrame) -> bool:
+    """Whether every larger node of ``edges`` (a, b) has one edge, and no smaller node is the larger one of another."""
+    ends = F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "a").cast("int").alias("up"), F.lit(c == "b").cast("int").alias("down")) for c in "ab"))
+    counted = edges.select(F.explode(ends).alias("end")).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.sum("end.down").alias("down"))
+    return counted.where("up > 1 or (up = 1 and down > 0)").isEmpty()
