@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,34 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="voxmill-checkpoint-")
 
 
+#: Setting of Spark that removes the shuffle files of an action when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files when they end, not when the driver next collects its garbage."""
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    """Write ``df`` to the shared checkpoint folder and cut its lineage; the shuffles before it are let go."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint()
+
+
+def is_empty(df: DataFrame) -> bool:
+    """Whether ``df`` has no row; the shuffles it took are let go."""
+    with shuffles_removed(df.sparkSession):
+        return df.isEmpty()
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -47,7 +70,7 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, hot_ro
     task gets more rows of one key.
     """
     hot = table.where(F.col(size) > hot_rows)
-    if hot.isEmpty():
+    if is_empty(hot):
         return rows.join(table, key)
     met = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), key, "left")
     cold = met.where("hot_ is null").select(*rows.columns).join(table.where(F.col(size) <= hot_rows), key)

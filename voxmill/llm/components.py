@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import is_empty, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,4 @@ def only_stars(edges: DataFrame) -> bool:
     """Whether every larger node of ``edges`` (a, b) has one edge, and no smaller node is the larger one of another."""
     ends = F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "a").cast("int").alias("up"), F.lit(c == "b").cast("int").alias("down")) for c in "ab"))
     counted = edges.select(F.explode(ends).alias("end")).groupBy("end.node").agg(F.sum("end.up").alias("up"), F.sum("end.down").alias("down"))
-    return counted.where("up > 1 or (up = 1 and down > 0)").isEmpty()
+    return is_empty(counted.where("up > 1 or (up = 1 and down > 0)"))
