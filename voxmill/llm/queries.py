@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_prints, exact_dedup, language, licenses, packing, quality, simhash, token_counts, url_rules
+from . import bpe, conversations, edit_prints, exact_dedup, language, licenses, merkle, oracles, packing, quality, simhash, token_counts, topk, url_rules
 from .common import crc_fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,6 +68,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, mined)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.nearest_rows(vectors, "vec_id", "embedding", F.col("id") % 20 == 0, 20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 #: Over the whole table: keep the row with the largest doc_id of equal texts.
 OP2_SQL = """
 WITH hashed AS (
@@ -86,9 +99,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality, op2_exact_dedup, op3_packing, op4_licence_scan, op5_language_id, op6_bpe_round_trip,
         op7_token_counts, op8_simhash_dedup, op9_order_minhash, op10_url_filter,
+        op11_conversation_repair, op12_exact_topk, op13_merkle_manifest,
     )
     return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op11_conversation_repair": oracles.OP11_SQL,
+        "op12_exact_topk": oracles.OP12_SQL,
+        "op13_merkle_manifest": oracles.OP13_SQL,
+    }
