@@ -60,20 +60,25 @@ def shuffle_width(spark: SparkSession) -> int:
 
 #: Rows of a key from which on they are joined where they lie, instead of in one task.
 HOT_ROWS = 100_000
+#: Keys that are broadcast at most, each with its one row.
+HOT_KEYS = 10_000
 
 
 def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined to the one row that ``table`` has for each ``key``; the result has the columns of both.
 
     ``size`` says how many of ``rows`` have the key, and ``table`` is cut off from its lineage. Keys with more
-    than ``hot_rows`` are broadcast, which are at most as many as ``rows`` has times ``hot_rows``, so no
-    task gets more rows of one key.
+    than ``hot_rows``, and more than one in HOT_KEYS of all rows, are broadcast: these are at most HOT_KEYS,
+    however many rows there are. A task gets no more rows of any other key than these two bounds.
     """
-    hot = table.where(F.col(size) > hot_rows)
+    with shuffles_removed(rows.sparkSession):
+        total = table.agg(F.sum(size)).first()[0] or 0
+    bound = max(hot_rows, total // HOT_KEYS)
+    hot = table.where(F.col(size) > bound)
     if is_empty(hot):
         return rows.join(table, key)
     met = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), key, "left")
-    cold = met.where("hot_ is null").select(*rows.columns).join(table.where(F.col(size) <= hot_rows), key)
+    cold = met.where("hot_ is null").select(*rows.columns).join(table.where(F.col(size) <= bound), key)
     return met.where("hot_").drop("hot_").unionByName(cold)
 
 

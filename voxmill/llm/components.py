@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     only keeps as many edges as it got, and the number of rounds grows with the logarithm of the
     graph's size. There is no limit to the rounds, so no component is left divided. The driver sees
     one row per round. Edges are held from the larger node to the smaller, and only nodes with
-    a smaller neighbour are looked up; an edge whose lower node has none stays as it is, so the
-    centre of a star is no key that its edges have to meet at.
+    a smaller neighbour are looked up. The edges of a star meet at its centre in joins to a table
+    with one row per node, so Spark may split them among tasks where they are many.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not only_stars(edges):
