@@ -35,11 +35,6 @@ def voxel_value(value: Column) -> Column:
     return F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(65535.0))).cast("int")
 
 
-def corner_weight(corner: Column, part: Column) -> Column:
-    """Linear weight of the lower (0) or upper (1) corner for a fraction between them."""
-    return F.when(corner == 0, 1 - part).otherwise(part)
-
-
 def hue_angle(y: Column, x: Column) -> Column:
     """Direction of a vector in turns, moved to 0..1; the zero vector has 0."""
     turn = F.atan2(y, x) / F.lit(6.283185307179586) + 0.5

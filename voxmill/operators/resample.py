@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, corner_weight, voxel_value
+from ..functions.geometry import AXES, voxel_value
 from ..params import StraightenParams
+from . import bricks
 
 
 @dataclass(frozen=True)
@@ -74,28 +77,30 @@ def inside(shape: Shape, corners: bool) -> Column:
 def trilinear(points: DataFrame, voxels: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
     """``keys`` and val: the volume at real coordinates (z, y, x), 0 outside.
 
-    Every point asks for its eight corners, which an equality join on the voxel's place brings;
-    points outside are dropped before the join and come back as 0.
+    Every point goes to the brick that holds its eight corners and is interpolated there; points
+    outside are answered where they lie.
     """
-    cut = points.select(*keys, *(F.floor(a).cast("int").alias(f"i{a}") for a in AXES), *((F.col(a) - F.floor(a)).alias(f"t{a}") for a in AXES))
-    corners = cut.where(inside(shape, True))
-    weight = F.lit(1.0)
-    for axis, size in shape.sizes:
-        steps = [0, 1] if size > 1 else [0]
-        corners = corners.withColumn(f"c{axis}", F.explode(F.array(*map(F.lit, steps))))
-        if size > 1:
-            weight = weight * corner_weight(F.col(f"c{axis}"), F.col(f"t{axis}"))
-    asked = corners.select(*keys, weight.alias("weight"), *((F.col(f"i{a}") + F.col(f"c{a}")).cast("int").alias(a) for a in AXES))
-    summed = asked.join(voxels, list(AXES)).groupBy(*keys).agg(F.sum(F.col("weight") * F.col("v")).alias("val"))
-    return points.select(*keys).join(summed, keys, "left").select(*keys, F.coalesce("val", F.lit(0.0)).alias("val"))
+    return with_zeros(points, inside(shape, True), F.floor, voxels, shape, keys)
 
 
 def nearest_voxel(points: DataFrame, voxels: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
     """``keys`` and val: the voxel nearest to each point, halves to the even side, 0 outside."""
-    rounded = points.select(*keys, *(F.rint(a).cast("int").alias(f"i{a}") for a in AXES))
-    asked = rounded.where(inside(shape, False)).select(*keys, *(F.col(f"i{a}").alias(a) for a in AXES))
-    found = asked.join(voxels, list(AXES)).select(*keys, F.col("v").cast("double").alias("val"))
-    return points.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("val", F.lit(0.0)).alias("val"))
+    return with_zeros(points, inside(shape, False), F.rint, voxels, shape, keys)
+
+
+def with_zeros(points: DataFrame, hit: Column, whole: Callable[[str], Column], voxels: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
+    """Values of ``points``: read from bricks where ``hit``, else 0; ``whole`` gives the voxel of a coordinate."""
+    cut = points.select(*keys, *AXES, *(whole(a).cast("long").alias(f"i{a}") for a in AXES))
+    own = {a: F.col(f"i{a}") for a in AXES}
+    between = {a: F.greatest(F.col(a) - own[a], F.lit(0.0)) if whole is F.floor and size > 1 else F.lit(0.0) for a, size in shape.sizes}
+    hits = F.coalesce(hit, F.lit(False))
+    found = bricks.gather(cut.where(hits), bricks.bricks_of(voxels.where(within(shape))), keys, own, between)
+    return found.unionByName(cut.where(~hits).select(*keys, F.lit(0.0).alias("val")))
+
+
+def within(shape: Shape) -> Column:
+    """Whether a voxel (z, y, x) lies in the volume."""
+    return reduce(Column.__and__, ((F.col(a) >= 0) & (F.col(a) < size) for a, size in shape.sizes))
 
 
 def as_voxels(values: DataFrame) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: Values of a series that one task may transform.
-MAX_TRANSFORM = 1 << 24
+#: Values of a band that a task transforms, and the number of bands from which on they grow instead.
+BAND, MAX_BANDS = 1 << 16, 1 << 12
 
 
 def lag_products(series: DataFrame, n: int, max_lag: int) -> DataFrame:
@@ -22,27 +21,104 @@ def lag_products(series: DataFrame, n: int, max_lag: int) -> DataFrame:
     return later.join(other, "i2").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("r"))
 
 
+@dataclass(frozen=True)
+class Transform:
+    """A transform of ``rows * columns`` values, dealt as bands of rows and of columns.
+
+    Value j lies at row j // columns and column j % columns; frequency k at row k % rows of the turned
+    table, which has a row for each k % rows and a column for each k // rows.
+    """
+
+    rows: int
+    columns: int
+    row_band: int
+    column_band: int
+
+    @property
+    def size(self) -> int:
+        return self.rows * self.columns
+
+    def twiddle(self, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """exp(-2 pi i row column / size); the product is reduced first, for it may be large."""
+        return np.exp(-2j * np.pi / self.size * ((row[:, None].astype(np.int64) * column[None, :]) % self.size))
+
+
+def transform_for(n: int) -> Transform:
+    """A transform of a power of two that is long enough for all lags of ``n`` values without wrapping.
+
+    Bands hold about BAND values, or more where there would be more than MAX_BANDS of them.
+    """
+    bits = max(2, (2 * n - 1).bit_length())
+    rows, columns = 1 << bits // 2, 1 << bits - bits // 2
+    band = max(BAND, (1 << bits) // MAX_BANDS)
+    return Transform(rows, columns, min(rows, max(1, band // columns)), min(columns, max(1, band // rows)))
+
+
+TILE = "band int, other int, re binary, im binary"
+
+
+def tiles(values: np.ndarray, other: int, step: int) -> pa.Table:
+    """A band of values cut into the bands of the other side: rows [band, other, re, im]."""
+    cuts = range(0, len(values), step)
+    parts = [np.ascontiguousarray(values[at : at + step]) for at in cuts]
+    return pa.table({
+        "band": pa.array([at // step for at in cuts], pa.int32()), "other": pa.array([other] * len(parts), pa.int32()),
+        "re": [p.real.tobytes() for p in parts], "im": [p.imag.tobytes() for p in parts],
+    })
+
+
+def joined(rows: pa.Table, height: int) -> np.ndarray:
+    """The band that tiles of ``height`` rows make when they are laid side by side."""
+    order = np.argsort(rows.column("other").to_numpy())
+    real, imaginary = (rows.column(c).to_pylist() for c in ("re", "im"))
+    return np.concatenate([(np.frombuffer(real[i]) + 1j * np.frombuffer(imaginary[i])).reshape(height, -1) for i in order], axis=1)
+
+
 def autocorrelation(series: DataFrame, n: int, max_lag: int, center: bool = False) -> DataFrame:
-    """(lag, r) for all lags up to ``max_lag`` (less than n), by the power spectrum of the first n values.
+    """(lag, r) for all lags up to ``max_lag`` (less than n): the circular autocorrelation of the first n values of ``series`` (i, v).
 
-    n is a parameter of the program (100,000 by default): the transform takes one task, and more than
-    MAX_TRANSFORM values are refused.
+    By the power spectrum, in four steps over bands of a table of values: transforms down its columns,
+    a turning shuffle, transforms along its rows, their squared size and the way back in the same
+    task, another turning shuffle, and transforms down the columns again. Values are padded with zeros to a
+    power of two, and lags that wrap are added afterwards. A task holds a band; there are at most
+    MAX_BANDS, so a band grows with the series only beyond BAND * MAX_BANDS values.
     """
-    if n > MAX_TRANSFORM:
-        raise ValueError(f"a transform of more than {MAX_TRANSFORM} values does not fit one task")
-
-    def transform(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values = np.zeros(n)
-        for frame in frames:
-            values[frame["i"].to_numpy()] = frame["v"].to_numpy(dtype=float)
-        if center:
-            values = values - values.mean()
-        power = np.abs(np.fft.rfft(values)) ** 2
-        r = np.fft.irfft(power, n)
-        top = min(max_lag, n - 1)
-        yield pd.DataFrame({"lag": np.arange(1, top + 1, dtype=np.int32), "r": r[1 : top + 1]})
-
-    return series.where(F.col("i") < n).select("i", "v").coalesce(1).mapInPandas(transform, "lag int, r double")
+    top = min(max_lag, n - 1)
+    plan = transform_for(n)
+    values = series.where((F.col("i") >= 0) & (F.col("i") < n)).select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    if center:
+        values = values.withColumn("v", F.col("v") - F.lit((values.agg(F.sum("v")).first()[0] or 0.0) / n))
+
+    def down(key: tuple, rows: pa.Table) -> pa.Table:
+        band = key[0].as_py()
+        own = np.zeros((plan.rows, plan.column_band))
+        i = rows.column("i").to_numpy()
+        own[i // plan.columns, i % plan.columns - band * plan.column_band] = rows.column("v").to_numpy()
+        columns = band * plan.column_band + np.arange(plan.column_band)
+        return tiles(np.fft.fft(own, axis=0) * plan.twiddle(np.arange(plan.rows), columns), band, plan.row_band)
+
+    def along(key: tuple, rows: pa.Table) -> pa.Table:
+        band = key[0].as_py()
+        power = np.abs(np.fft.fft(joined(rows, plan.row_band), axis=1)) ** 2
+        back = np.fft.ifft(power, axis=1) * plan.twiddle(band * plan.row_band + np.arange(plan.row_band), np.arange(plan.columns)).conj()
+        return tiles(np.ascontiguousarray(back.T), band, plan.column_band)
+
+    def back_down(key: tuple, rows: pa.Table) -> pa.Table:
+        band = key[0].as_py()
+        r = np.fft.ifft(joined(rows, plan.column_band).T, axis=0).real
+        place = np.arange(plan.rows)[:, None] * plan.columns + band * plan.column_band + np.arange(plan.column_band)[None, :]
+        wanted = (place > 0) & (place < n) & ((place <= top) | (place >= n - top))
+        return pa.table({"at": place[wanted], "r": r[wanted]})
+
+    # A padded column without a value has only zeros, and is laid out all the same.
+    bands = series.sparkSession.range(plan.columns // plan.column_band).select(F.col("id").cast("int").alias("band"))
+    dealt = values.select((F.col("i") % plan.columns / plan.column_band).cast("int").alias("band"), "i", "v")
+    first = dealt.groupBy("band").cogroup(bands.groupBy("band")).applyInArrow(lambda key, own, _: down(key, own), TILE)
+    turned = first.groupBy("band").applyInArrow(along, TILE)
+    found = turned.groupBy("band").applyInArrow(back_down, "at long, r double")
+    lags = F.filter(F.array(F.col("at"), F.lit(n) - F.col("at")), lambda lag: lag <= top)
+    wrapped = found.select(F.explode(lags).alias("lag"), "r")
+    return wrapped.groupBy(F.col("lag").cast("int").alias("lag")).agg(F.sum("r").alias("r"))
 
 
 def top_lags(correlation: DataFrame, n: int = 50, min_lag: int = 1) -> DataFrame:
