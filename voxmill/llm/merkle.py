@@ -5,8 +5,9 @@ level of the tree is one window: partitioned by group and parent index, its orde
 collects the run of up to three nodes, which gives the parent's preimage and each node's siblings at
 once. One row per parent goes on to the next level. Sizes fall by three, and a group leaves when one
 node remains. Proofs then grow from the top down: a node's proof is its own siblings and its
-parent's proof, so that each join meets three rows per key and no group meets in one task. Texts
-are hashed where they are read, and only digests are shuffled.
+parent's proof, so that each join meets three rows per key and no group meets in one task. Levels that have
+no more than FEW nodes in all groups together are kept in one partition, where windows and joins need no
+shuffle. Texts are hashed where they are read, and only digests are shuffled.
 
 Null values are hashed as ``-``, an empty text as ``0:``; a null group is a group of its own, ordered
 first. Within a group null ids come first, and rows that repeat an id are ordered by their leaf; rows
@@ -16,6 +17,9 @@ Columns that are not asked for are left alone, whatever their names. An empty ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,9 @@ from .common import materialize
 #: Nodes of a run that become one parent.
 ARITY = 3
 
+#: Nodes of all groups up to which they stay in one partition.
+FEW = 20_000
+
 #: What a node's proof holds for one level: the run's nodes before it and after it, as hex text.
 EMPTY_PROOF = "cast(array() as array<struct<before: string, after: string>>)"
 
@@ -39,6 +46,11 @@ def framed(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
+def gathered(rows: DataFrame, at_most: int) -> DataFrame:
+    """``rows``, in one partition if they are few: ``at_most`` is a bound of their number."""
+    return rows.coalesce(1) if at_most <= FEW else rows
+
+
 def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``rows`` with ``index``, their place from 0 in their group by ``order``, and ``nodes``, the group's size.
 
@@ -59,60 +71,74 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return met.select(*rows.columns, (F.col("place_") + F.col("shift_")).alias("index"), "nodes")
 
 
-def tree_levels(leaves: DataFrame, group: str) -> list[DataFrame]:
-    """The levels of the tree of each group, from the leaves up, each written to the checkpoint folder.
+@dataclass(frozen=True)
+class Tree:
+    """The levels of the trees of all groups, from the leaves up, and a bound of the nodes of each level.
+
+    A level has ``group``, index, nodes, digest, ``before`` and ``after``, the siblings of a node as hex
+    text, and ``parent``; the last three are null for a node that remains alone in its group.
+    """
+
+    group: str
+    levels: list[DataFrame]
+    bounds: list[int]
+
+
+def grown(leaves: DataFrame, group: str) -> Tree:
+    """The trees over ``leaves`` (``group``, index, nodes, digest), each level written to the checkpoint folder.
 
-    ``leaves`` has ``group``, index, nodes and digest. A level adds ``before`` and ``after``, the
-    siblings of a node as hex text, and ``parent``; all three are null for a node that remains alone.
-    The driver sees the size of the largest group.
+    The driver sees the number of leaves and groups, and the size of the largest group.
     """
-    levels: list[DataFrame] = []
-    left = leaves.agg(F.max("nodes")).first()[0] or 0
+    size = leaves.agg(F.count("*"), F.count_if(F.col("index") == 0), F.max("nodes")).first()
+    many, left = size[0], size[2] or 0
+    tree = Tree(group, [], [])
     level = leaves.select(group, "index", "nodes", "digest")
     run = Window.partitionBy(group, F.floor(F.col("index") / ARITY)).orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    while left > 1:
+    while True:
+        tree.bounds.append(many)
+        level = gathered(level, many)
         place = (F.col("index") % ARITY).cast("int")
-        together = level.where("nodes > 1").withColumn("run_", F.collect_list("digest").over(run))
-        met = together.select(
+        alone = F.col("nodes") == 1
+        met = level.withColumn("run_", F.collect_list("digest").over(run)).select(
             group, "index", "nodes", "digest",
-            F.array_join(F.slice("run_", F.lit(1), place), "").alias("before"),
-            F.array_join(F.slice("run_", place + 2, F.lit(ARITY)), "").alias("after"),
-            digest(F.array_join("run_", "")).alias("parent"),
+            F.when(~alone, F.array_join(F.slice("run_", F.lit(1), place), "")).alias("before"),
+            F.when(~alone, F.array_join(F.slice("run_", place + 2, F.lit(ARITY)), "")).alias("after"),
+            F.when(~alone, digest(F.array_join("run_", ""))).alias("parent"),
         )
-        lone = level.where("nodes = 1").select(group, "index", "nodes", "digest", *(F.lit(None).cast("string").alias(c) for c in ("before", "after", "parent")))
-        levels.append(materialize(met.unionByName(lone)))
-        first = levels[-1].where((F.col("index") % ARITY == 0) & (F.col("nodes") > 1))  # one row per parent
+        tree.levels.append(materialize(met))
+        if left <= 1:
+            return tree
+        first = tree.levels[-1].where((F.col("index") % ARITY == 0) & (F.col("nodes") > 1))  # one row per parent
         level = first.select(group, F.floor(F.col("index") / ARITY).alias("index"), F.ceil(F.col("nodes") / ARITY).alias("nodes"), F.col("parent").alias("digest"))
-        left = -(-left // ARITY)
-    levels.append(materialize(level.select("*", *(F.lit(None).cast("string").alias(c) for c in ("before", "after", "parent")))))
-    return levels
+        left, many = -(-left // ARITY), min(many, many // ARITY + size[1])
 
 
-def tops(levels: list[DataFrame], group: str) -> DataFrame:
+def tops(tree: Tree) -> DataFrame:
     """``group`` and the digest of the node that remains of it."""
-    remaining = [level.where("nodes = 1").select(group, "digest") for level in levels]
-    top = remaining[0]
-    for more in remaining[1:]:
-        top = top.unionByName(more)
-    return top
+    remaining = [level.where("nodes = 1").select(tree.group, "digest") for level in tree.levels]
+    top = reduce(DataFrame.unionByName, remaining)
+    return gathered(top, tree.bounds[-1])
 
 
-def with_proofs(levels: list[DataFrame], group: str, above: DataFrame) -> DataFrame:
-    """The leaves (``group``, index) with ``proof`` from the leaf up and the other columns of ``above``.
+def with_proofs(tree: Tree, above: DataFrame) -> DataFrame:
+    """The leaves (``group``, index, digest) with ``proof`` from the leaf up and the other columns of ``above``.
 
     ``above`` has one row per group: ``group``, the proof of what stands over it, and columns to pass on.
     """
+    group = tree.group
     passed = [c for c in above.columns if c not in (group, "proof")]
     known = None
-    for level in reversed(levels):
-        top = level.where("nodes = 1").alias("n").join(above.alias("a"), F.col(f"n.{group}").eqNullSafe(F.col(f"a.{group}")))
-        found = top.select(f"n.{group}", "n.index", "a.proof", *(f"a.{c}" for c in passed))
+    for level, many in zip(reversed(tree.levels), reversed(tree.bounds), strict=True):
+        same_group = F.col(f"n.{group}").eqNullSafe(F.col(f"a.{group}"))
+        here = gathered(level, many)
+        top = here.where("nodes = 1").alias("n").join(above.alias("a"), same_group)
+        found = top.select(f"n.{group}", "n.index", "n.digest", "a.proof", *(f"a.{c}" for c in passed))
         if known is not None:
-            over = F.floor(F.col("n.index") / ARITY) == F.col("k.index")
-            lower = level.where("nodes > 1").alias("n").join(known.alias("k"), F.col(f"n.{group}").eqNullSafe(F.col(f"k.{group}")) & over)
+            over = F.floor(F.col("n.index") / ARITY) == F.col("a.index")
+            lower = here.where("nodes > 1").alias("n").join(known.alias("a"), same_group & over)
             own = F.array(F.struct(F.col("n.before").alias("before"), F.col("n.after").alias("after")))
-            found = found.unionByName(lower.select(f"n.{group}", "n.index", F.concat(own, "k.proof").alias("proof"), *(f"k.{c}" for c in passed)))
-        known = found
+            found = found.unionByName(lower.select(f"n.{group}", "n.index", "n.digest", F.concat(own, "a.proof").alias("proof"), *(f"a.{c}" for c in passed)))
+        known = gathered(found, many)
     return known
 
 
@@ -130,14 +156,19 @@ def manifest(rows: DataFrame, row_id: str, group: str, leaf: Column, claimed: Co
     """
     slim = rows.select(F.col(row_id).alias("id_"), F.col(group).alias("group_"), leaf.alias("digest"), claimed.alias("claimed_"))
     leaves = materialize(numbered(slim, "group_", ["id_", "digest"]))
-    levels = tree_levels(leaves, "group_")
-    roots = tops(levels, "group_").select(F.lit(0).alias("all_"), F.col("group_").alias("name_"), "digest")
-    subroots = materialize(numbered(roots, "all_", ["name_"]))
-    upper = tree_levels(subroots, "all_")
-    over_all = tops(upper, "all_").select("all_", F.expr(EMPTY_PROOF).alias("proof"), F.col("digest").alias("root"))
-    placed = with_proofs(upper, "all_", over_all).alias("p").join(subroots.alias("s"), "index")
-    above = materialize(placed.select(F.col("s.name_").alias("group_"), "p.proof", F.col("s.digest").alias("subroot"), "p.root"))
-    proven = with_proofs(levels, "group_", above).alias("p").join(
+    tree = grown(leaves, "group_")
+    roots = tops(tree).select(F.lit(0).alias("all_"), F.col("group_").alias("name_"), "digest")
+    if tree.bounds[-1] <= FEW:
+        order = Window.partitionBy("all_").orderBy("name_")
+        subroots = roots.withColumn("index", (F.row_number().over(order) - 1).cast("long")).withColumn("nodes", F.count("*").over(Window.partitionBy("all_")))
+    else:
+        subroots = numbered(roots, "all_", ["name_"])
+    subroots = materialize(subroots)
+    upper = grown(subroots, "all_")
+    over_all = tops(upper).select("all_", F.expr(EMPTY_PROOF).alias("proof"), F.col("digest").alias("root"))
+    placed = with_proofs(upper, over_all).alias("p").join(subroots.alias("s"), "index")
+    above = materialize(placed.select(F.col("s.name_").alias("group_"), "p.proof", F.col("p.digest").alias("subroot"), "p.root"))
+    proven = with_proofs(tree, above).alias("p").join(
         leaves.alias("l"), F.col("p.group_").eqNullSafe(F.col("l.group_")) & (F.col("p.index") == F.col("l.index"))
     )
     siblings = F.array_join(F.transform("p.proof", lambda level: F.concat(level["before"], level["after"])), "")
