@@ -65,7 +65,7 @@ def test_tree_of_a_line_and_ties(spark):
     assert {(r["u"], r["w"]) for r in edges.collect()} == {(i, i + 1) for i in range(5)}
     line = [r["x"] for r in graph.backbone(spark, points).orderBy("idx").collect()]
     assert line in ([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0])
-    by_joins = graph.boruvka(neighbours.pairwise_distances(points).where("u < w"))
+    by_joins = graph.boruvka(graph.pairwise_distances(points).where("u < w"))
     assert by_joins.agg(F.sum("d")).first()[0] == pytest.approx(5.0)
 
 

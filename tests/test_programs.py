@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmill import fixtures as fx
-from voxmill.operators import contour, factor, graph, grow, neighbours, resample, stats
+from voxmill.operators import contour, factor, graph, grow, neighbours, resample, stats, tours
 from voxmill.params import StraightenParams, SvdParams
 from voxmill.plans import catalogue, outputs, programs
 from voxmill.sources import raw_volume, text_files
@@ -171,7 +171,15 @@ def test_raw_outputs_are_read_back(spark, stack, tmp_path):
     outputs.write_shapes(coloured, str(tmp_path / "stack.shapes"), params)
     rgb = np.fromfile(tmp_path / "stack.shapes", np.uint8).reshape(-1, 3)
     assert all(tuple(rgb[r["row"]]) == (r["r"], r["g"], r["b"]) for r in coloured.collect())
-    kept = programs.factors(px.limit(0), fx.DAYS, params.dim, cache=str(tmp_path / "factors"))  # read, not computed again
+    cache = str(tmp_path / "factors")
+    written = (tmp_path / "factors" / "label").stat().st_mtime_ns
+    kept = programs.factors(px, fx.DAYS, params.dim, cache)  # read, not computed again
+    assert (tmp_path / "factors" / "label").stat().st_mtime_ns == written
+    for other, dim in ((px, 3), (px.where("px < 40"), params.dim), (px.withColumn("v", F.col("v") + 1), params.dim)):
+        assert len(programs.factors(other, fx.DAYS, dim, str(tmp_path / f"{dim}")).s.collect()) == dim
+        fresh = programs.factors(other, fx.DAYS, dim, cache)  # what is kept belongs to another stack or rank
+        assert fresh.s.count() == dim and programs.kept_label(spark, cache)["dim"] == dim
+    kept = programs.factors(px, fx.DAYS, params.dim, cache)
     outputs.write_component_stack(kept, str(tmp_path / "parts.raw"), params)
     parts = np.fromfile(tmp_path / "parts.raw", "<u2").reshape(params.dim, -1)
     assert all(parts[r["k"], r["row"]] == r["v"] for r in outputs.component_stack(kept).collect())
@@ -211,65 +219,110 @@ def test_steps_on_arrays_are_those_of_tables(spark):
 
 def test_the_contour_loop_stops_as_its_rule_says():
     line = np.array([[0.0, 0, 0], [0, 10, 0], [0, 20, 0]])
-    pool = np.array([[0.0, y, 0] for y in range(21)] * 3)
+    pool = np.array([[0.0, y, 0] for y in range(21)] * 9)
     params = StraightenParams(contour_points=21, stable_iterations=7, replaced_per_iteration=2)
-    _, iterations, settled = contour.refine_line(line, pool, np.ones(len(pool)), params)
+    asked = []
+    drawn = lambda: contour.Draws(lambda a, b: asked.append((a, b)) or (pool[a:b], np.ones(b - a)), 21)
+    _, iterations, settled = contour.refine_line(line, drawn(), params)
     now, run, expected = line, 0, None  # moves are small from the start, so the first full run ends it
     for i in range(1, 20):
-        moved = contour.array_step(now, pool[:21], np.ones(21), params)
+        moved = contour.array_step(now, pool[:21], np.ones(21), params)  # draws repeat the same places
         run = run + 1 if np.sqrt(((moved - now) ** 2).sum(axis=1)).mean() < params.move_threshold else 0
         now = moved
         if run == 7 and expected is None:
             expected = i
     assert settled and iterations == expected
-    assert contour.refine_line(line, pool, np.ones(len(pool)), StraightenParams(contour_points=21, move_threshold=0.0, max_iterations=9))[1:] == (9, False)
+    assert asked == [(21 * n, 21 * n + 21) for n in range(len(asked))]  # none is asked for twice
+    few = StraightenParams(contour_points=21, move_threshold=0.0, max_iterations=9, replaced_per_iteration=2)
+    assert contour.refine_line(line, drawn(), few)[1:] == (9, False)
 
 
 def test_a_line_that_does_not_settle_is_tried_again(spark, monkeypatch):
     real, tries = contour.refine_line, []
     monkeypatch.setattr(contour, "refine_line", lambda *a: tries.append(1) or ((*real(*a)[:2], len(tries) > 2)))
+    monkeypatch.setattr(graph, "backbone", lambda *a: fx.controls(spark))
     params = StraightenParams(mst_points=12, contour_points=50, stable_iterations=5, max_iterations=20)
-    line, _ = programs.find_backbone(spark, fx.voxels(spark, SF_DIR), catalogue.SHAPE, params)
+    line, _ = programs.find_backbone(spark, fx.voxels(spark, SF_DIR), params)
     assert len(tries) == 3 and len(line) > 1
     monkeypatch.setattr(contour, "refine_line", lambda *a: (*real(*a)[:2], False))
     with pytest.raises(ValueError, match="settled"):
-        programs.find_backbone(spark, fx.voxels(spark, SF_DIR), catalogue.SHAPE, params)
-
-
-def test_trees_of_many_points_are_whole(spark, monkeypatch):
-    monkeypatch.setattr(graph, "DRIVER_POINTS", 20)
-    rng, n = np.random.default_rng(3), 80
-    places = np.concatenate((rng.normal(0, 5, (n - 2, 3)), rng.uniform(-60, 60, (2, 3))))
+        programs.find_backbone(spark, fx.voxels(spark, SF_DIR), params, attempts=2)
+
+
+def slow_tree(points):
+    """Edges (u, w, d) of the spanning tree whose edges come first by (d, u, w), one added after another."""
+    left, edges = set(range(1, len(points))), []
+    while left:
+        d, u, w = min((float(np.linalg.norm(points[i] - points[j])), min(i, j), max(i, j)) for i in left for j in range(len(points)) if j not in left)
+        edges.append((u, w, d))
+        left.discard(u if u in left else w)
+    return sorted(edges)
+
+
+def slow_reach(edges, root):
+    near, reached, front = {}, {root: (-1, 0.0)}, [root]
+    for u, w, d in edges:
+        near.setdefault(u, []).append((w, d))
+        near.setdefault(w, []).append((u, d))
+    while front:
+        at = front.pop()
+        for other, d in near.get(at, []):
+            if other not in reached:
+                reached[other] = at, reached[at][1] + d
+                front.append(other)
+    return reached
+
+
+@pytest.mark.parametrize("pairs", [20, graph.ALL_PAIRS])
+def test_trees_by_pairs_and_by_grid_are_the_slow_one(spark, monkeypatch, pairs):
+    monkeypatch.setattr(graph, "ALL_PAIRS", pairs)
+    rng, n = np.random.default_rng(3), 40
+    places = np.concatenate((rng.integers(0, 5, (n - 2, 3)), rng.uniform(-60, 60, (2, 3)))).astype(float)  # with ties and repeated points
     points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "idx int, z double, y double, x double")
-    edges = graph.tree_edges(graph.minimum_spanning_tree(points))
-    slow = graph.prim(places)
-    assert len(edges) == n - 1 and sum(d for *_, d in edges) == pytest.approx(sum(d for *_, d in slow))
-    path, length = graph.diameter_path(slow)
-    found = graph.diameter_path(edges)
-    assert found[1] == pytest.approx(length) and {found[0][0], found[0][-1]} == {path[0], path[-1]}
-
-
-def test_roots_of_components_by_joins_and_on_the_driver(spark):
-    least = graph.cut_lineage(spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3), (9, 8), (8, 9), (12, 4)], "comp int, to int"))
-    expected = {1: 1, 2: 1, 3: 1, 4: 1, 12: 1, 8: 8, 9: 8}
-    for roots in (graph.roots_on_driver, graph.roots_by_joins):
-        assert {r["comp"]: r["root"] for r in roots(least).collect()} == expected
-
-
-def test_paths_beyond_the_points_of_the_driver_are_whole(spark):
-    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(2 * graph.DRIVER_POINTS + 1)], "u int, w int, d double")
-    path, length = graph.diameter_path(graph.tree_edges(edges))
-    assert length == 2 * graph.DRIVER_POINTS + 1 and len(path) == length + 1
-
-
-def test_the_backbone_of_a_long_path_is_whole(spark, monkeypatch):
-    monkeypatch.setattr(graph, "DRIVER_POINTS", 20)
+    found = sorted(map(tuple, graph.minimum_spanning_tree(points.repartition(3)).select("u", "w", "d").collect()))
+    slow = slow_tree(places)
+    assert [e[:2] for e in found] == [e[:2] for e in slow] and [e[2] for e in found] == pytest.approx([e[2] for e in slow])
+
+
+def test_paths_of_odd_trees_are_the_slow_ones(spark):
+    rng = np.random.default_rng(4)
+    star = [(0, i, float(i % 3)) for i in range(1, 60)]
+    wild = [(int(rng.integers(0, i)) if i % 4 else i - 1, i, float(rng.integers(0, 4))) for i in range(1, 70)]
+    for edges, root in ((star, 7), (wild, 0), ([(5, 9, 0.0)], 9)):
+        tree = spark.createDataFrame(edges, "u int, w int, d double").repartition(3)
+        slow = slow_reach(edges, root)
+        assert {r["node"]: (r["prev"], pytest.approx(r["dist"])) for r in tours.tree_reach(tree, root).collect()} == slow
+        farthest = lambda reached: min(reached, key=lambda n: (-round(reached[n][1], 9), n))
+        first = farthest(slow)
+        back = slow_reach(edges, first)
+        second = farthest(back)
+        path = [second]
+        while back[path[-1]][0] >= 0:
+            path.append(back[path[-1]][0])
+        tip1, tip2, length, along = tours.diameter(tree, root)
+        assert (tip1, tip2) == (first, second) and length == pytest.approx(back[second][1])
+        assert [r["node"] for r in along.orderBy("idx").collect()] == path
+
+
+def test_a_path_of_many_edges_is_whole(spark):
+    n = 100_000
+    mixed = (F.col("id") * 7919 % n).cast("int")  # neighbours on the path lie anywhere in the table
+    edges = spark.range(n - 1).select(mixed.alias("u"), ((F.col("id") + 1) * 7919 % n).cast("int").alias("w"), F.lit(1.0).alias("d"))
+    _, _, length, along = tours.diameter(edges, 5)
+    assert length == n - 1 and along.count() == along.select("node").distinct().count() == n
+    assert {r["node"] for r in along.where(F.col("idx").isin(0, n - 1)).collect()} == {0, (n - 1) * 7919 % n}
+
+
+def test_roots_of_components(spark):
+    least = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3), (9, 8), (8, 9), (12, 4)], "comp int, to int")
+    assert {r["comp"]: r["root"] for r in graph.roots(least).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 12: 1, 8: 8, 9: 8}
+
+
+def test_the_backbone_of_a_long_path_is_whole(spark):
     points = spark.range(40).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("z"), F.lit(0.0).alias("y"), (F.col("id") * 1.5).alias("x"))
     line = [r["x"] for r in graph.backbone(spark, points.repartition(3)).orderBy("idx").collect()]
     assert sorted(line) == [1.5 * i for i in range(40)] and line in (sorted(line), sorted(line)[::-1])
-    monkeypatch.setattr(graph, "TREE_EDGES", 10)
-    with pytest.raises(ValueError, match="tree_reach"):
-        graph.backbone(spark, points)
+    assert [r["node"] for r in graph.backbone(spark, points.where("idx = 3")).collect()] == [3]
 
 
 def test_many_controls_are_met_in_a_grid(spark, monkeypatch):

@@ -26,6 +26,12 @@ def hash32(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def hash60(*parts: Column | int | str) -> Column:
+    """As ``hash16``, from 0..2^60 - 1."""
+    columns = [part if isinstance(part, Column) else F.lit(part) for part in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def linear_index(width: int, height: int, z: str = "z", y: str = "y", x: str = "x") -> Column:
     return F.col(z).cast("long") * (width * height) + F.col(y) * width + F.col(x)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,26 +95,46 @@ def array_step(line: np.ndarray, samples: np.ndarray, weights: np.ndarray, param
     return pulled / (params.alpha + 2 * params.beta + 2 * params.gamma + params.delta)
 
 
-def refine_line(line: np.ndarray, pool: np.ndarray, weights: np.ndarray, params: StraightenParams) -> tuple[np.ndarray, int, bool]:
+class Draws:
+    """Draws in order, fetched in blocks as they are asked for; none is given twice.
+
+    ``fetch`` gives the places and weights of the draws from one number up to another.
+    """
+
+    def __init__(self, fetch: Callable[[int, int], tuple[np.ndarray, np.ndarray]], block: int):
+        self.fetch, self.block, self.given, self.held = fetch, block, 0, (np.empty((0, 3)), np.empty(0))
+        self.fetched = 0
+
+    def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.held[1]) < n:
+            more = self.fetch(self.fetched, self.fetched + self.block)
+            self.fetched += self.block
+            self.held = tuple(np.concatenate(parts) for parts in zip(self.held, more, strict=True))
+        taken, self.held = tuple(h[:n] for h in self.held), tuple(h[n:] for h in self.held)
+        self.given += n
+        return taken
+
+
+def refine_line(line: np.ndarray, draws: Draws, params: StraightenParams) -> tuple[np.ndarray, int, bool]:
     """(line, iterations, converged) of the contour loop.
 
-    ``pool`` has the accepted draws in order: the first ``contour_points`` are the sample, and each
-    iteration the next ones overwrite slots of it. Its size is set by the parameters, so the loop
-    runs on arrays: a thousand small jobs would only wait for the scheduler.
+    The first ``contour_points`` draws are the sample, and each iteration the next ones overwrite slots of
+    it. Line and sample are as large as the parameters say, so a step runs on arrays: a thousand small
+    jobs would only wait for the scheduler. Draws come from the volume, a block at a time.
     """
     if len(line) < 2:
         raise ValueError("a line needs at least two controls")
-    size = min(params.contour_points, len(pool))
-    slots, nxt, run = np.arange(size), size, 0
-    draws = np.random.default_rng(params.seed)
+    places, weights = draws.take(params.contour_points)
+    slots, run = np.random.default_rng(params.seed), 0
     for iteration in range(1, params.max_iterations + 1):
-        moved = array_step(line, pool[slots], weights[slots], params)
+        moved = array_step(line, places, weights, params)
         move = np.sqrt(((moved - line) ** 2).sum(axis=1)).mean()
         line = moved
         run = run + 1 if move < params.move_threshold else 0
         if run >= params.stable_iterations:
             return line, iteration, True
-        for _ in range(params.replaced_per_iteration):
-            slots[draws.integers(size)] = nxt % len(pool)
-            nxt += 1
+        new_places, new_weights = draws.take(params.replaced_per_iteration)
+        slot = slots.integers(len(places), size=params.replaced_per_iteration)
+        for at, place, weight in zip(slot, new_places, new_weights, strict=True):  # a later draw may overwrite an earlier one
+            places[at], weights[at] = place, weight
     return line, params.max_iterations, False

@@ -1,67 +1,32 @@
-"""Spanning trees, traversal, diameter and paths."""
+"""Spanning trees, and the line along the longest path of one."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, distance
+from .store import Rounds, cut_lineage
+from .tours import diameter
 
-#: Point sets of at most this size are solved on the driver; larger ones by rounds of joins.
-DRIVER_POINTS = 2000
-#: Edges of a tree up to which its paths are walked on the driver (as arrays of 20 bytes an edge).
-TREE_EDGES = 5_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; on a single machine without it, a temporary one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return configured or tempfile.mkdtemp(prefix="voxmill-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read from it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def prim(points: np.ndarray) -> list[tuple[int, int, float]]:
-    """Tree edges (u, w, d) in the order of their addition, from point 0; ties by the lowest (u, w)."""
-    n = len(points)
-    if n == 0:
-        return []
-    inside = np.zeros(n, dtype=bool)
-    inside[0] = True
-    best = np.sqrt(((points - points[0]) ** 2).sum(axis=1))
-    parent = np.zeros(n, dtype=np.int64)
-    edges = []
-    for _ in range(n - 1):
-        outside = np.flatnonzero(~inside)
-        w = outside[np.lexsort((outside, parent[outside], best[outside]))[0]]
-        edges.append((int(parent[w]), int(w), float(best[w])))
-        inside[w] = True
-        away = np.sqrt(((points - points[w]) ** 2).sum(axis=1))
-        closer = (away < best) | ((away == best) & (w < parent))
-        best, parent = np.where(closer & ~inside, away, best), np.where(closer & ~inside, w, parent)
-    return edges
+#: Points up to which all pairs are listed (two million); more meet in the cells of a grid.
+ALL_PAIRS = 2000
 
 
 def minimum_spanning_tree(points: DataFrame) -> DataFrame:
-    """(u, w, d) edges of a minimum spanning tree of ``points`` (idx from 0, z, y, x)."""
-    rows = points.orderBy("idx").limit(DRIVER_POINTS + 1).collect()
-    if len(rows) > DRIVER_POINTS:
+    """(u, w, d), u < w: the minimum spanning tree of ``points`` (idx, z, y, x); of edges of equal length the lower (u, w) comes first."""
+    if len(points.select("idx").limit(ALL_PAIRS + 1).collect()) > ALL_PAIRS:
         return tree_by_distance(points)
-    edges = prim(np.array([[row["z"], row["y"], row["x"]] for row in rows], dtype=float).reshape(-1, 3))
-    ids = [row["idx"] for row in rows]
-    return points.sparkSession.createDataFrame([(ids[u], ids[w], d) for u, w, d in edges], "u int, w int, d double")
+    held = cut_lineage(points.select("idx", *AXES))
+    return boruvka(pairwise_distances(held))
+
+
+def pairwise_distances(points: DataFrame) -> DataFrame:
+    """(u, w, d) for all pairs u < w of ``points`` (idx, z, y, x); meant for sample-sized sets."""
+    a = points.select(F.col("idx").alias("u"), *(F.col(c).alias(f"a{c}") for c in AXES))
+    b = points.select(F.col("idx").alias("w"), *(F.col(c).alias(f"b{c}") for c in AXES))
+    return a.join(b, F.col("u") < F.col("w")).select("u", "w", distance("a", "b").alias("d"))
 
 
 def close_pairs(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame:
@@ -115,6 +80,8 @@ def merge_rounds(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame | None,
     then shrink to one by pointer jumping. The number of components at least halves in a round.
     """
     picked: DataFrame | None = None
+    spark = edges.sparkSession
+    rounds = Rounds(spark)
     while True:
         a = labels.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         b = labels.select(F.col("node").alias("w"), F.col("comp").alias("cw"))
@@ -123,111 +90,38 @@ def merge_rounds(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame | None,
         sides = crossing.select(F.col("cu").alias("comp"), F.col("cw").alias("to"), key.alias("e")).union(
             crossing.select(F.col("cw").alias("comp"), F.col("cu").alias("to"), key.alias("e"))
         )
-        least = cut_lineage(sides.groupBy("comp").agg(F.min_by("to", F.struct("e.d", "e.u", "e.w")).alias("to"), F.min(F.struct("e.d", "e.u", "e.w")).alias("e")))
+        least = Rounds(spark).next(sides.groupBy("comp").agg(F.min_by("to", F.struct("e.d", "e.u", "e.w")).alias("to"), F.min(F.struct("e.d", "e.u", "e.w")).alias("e")))
         if least.isEmpty():
             return picked, labels
         new = least.select("e.u", "e.w", "e.d").distinct()
         picked = new if picked is None else picked.unionByName(new)
-        if least.count() <= TREE_EDGES:
-            parents = roots_on_driver(least)
-        else:
-            parents = roots_by_joins(least)
-        labels = cut_lineage(labels.join(parents, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-
-
-def roots_on_driver(least: DataFrame) -> DataFrame:
-    """(comp, root) of components that each point at another (comp, to), of a checked number."""
-    table = least.select("comp", "to").orderBy("comp").toArrow()
-    comp, to = table.column("comp").to_numpy(), table.column("to").to_numpy()
-    at = np.minimum(np.searchsorted(comp, to), len(comp) - 1)
-    up = np.where(comp[at] == to, at, -1)  # a component without an edge of its own is a root
-    back = (up >= 0) & (up[up] == np.arange(len(comp))) & (comp < to)
-    root = np.where(up < 0, to, comp)
-    up = np.where(back | (up < 0), np.arange(len(comp)), up)  # of two that point at each other, the lower is the root
-    while (up[up] != up).any():
-        up = up[up]
-    return least.sparkSession.createDataFrame(pa.table({"comp": comp, "root": root[up]}))
-
-
-def roots_by_joins(least: DataFrame) -> DataFrame:
-    """As ``roots_on_driver``, by pointer jumping."""
+        parents = roots(least)
+        labels = rounds.next(labels.join(parents, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+
+
+def roots(least: DataFrame) -> DataFrame:
+    """(comp, root) of components that each point at another (comp, to), by pointer jumping; of two that point at each other, the lower is the root."""
     back = least.select(F.col("comp").alias("to"), F.col("to").alias("back"))
     parents = least.select("comp", "to").join(back, "to", "left")
     parents = parents.select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
-    parents = cut_lineage(parents.distinct())
+    rounds = Rounds(least.sparkSession)
+    parents = rounds.next(parents.distinct())
     while True:
         up = parents.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        jumped = cut_lineage(parents.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        jumped = rounds.next(parents.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         parents = jumped.select("comp", "root")
         if jumped.where("moved").isEmpty():
             return parents
 
 
-def tree_reach(edges: DataFrame, root: int) -> DataFrame:
-    """(node, prev, dist): every node's parent and path length from ``root``; the root's parent is -1.
-
-    A level of the tree per step: the frontier joins the edges and leaves what it came from.
-    """
-    both = cut_lineage(edges.select("u", "w", "d").union(edges.select(F.col("w"), F.col("u"), F.col("d"))).toDF("a", "b", "d"))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(root, -1, 0.0)], "node int, prev int, dist double")
-    levels = frontier
-    while True:
-        step = frontier.join(both, frontier["node"] == both["a"]).where("b <> prev")
-        frontier = cut_lineage(step.select(F.col("b").alias("node"), F.col("a").alias("prev"), (F.col("dist") + F.col("d")).alias("dist")))
-        if frontier.isEmpty():
-            return levels
-        levels = levels.unionByName(frontier)
-
-
-def reach_in_tree(edges: list[tuple[int, int, float]], root: int) -> dict[int, tuple[int, float]]:
-    """As ``tree_reach``, for a tree that is held on the driver."""
-    near: dict[int, list[tuple[int, float]]] = {}
-    for u, w, d in edges:
-        near.setdefault(u, []).append((w, d))
-        near.setdefault(w, []).append((u, d))
-    reached = {root: (-1, 0.0)}
-    open_ = [root]
-    while open_:
-        at = open_.pop()
-        for other, d in near.get(at, []):
-            if other not in reached:
-                reached[other] = at, reached[at][1] + d
-                open_.append(other)
-    return reached
-
-
-def farthest(reached: dict[int, tuple[int, float]]) -> int:
-    """The node with the longest path, the lowest of equal ones."""
-    return min(reached, key=lambda node: (-reached[node][1], node))
-
-
-def diameter_path(edges: list[tuple[int, int, float]], start: int = 0) -> tuple[list[int], float]:
-    """(nodes, length) of the tree's longest path, by two sweeps; from the second end to the first."""
-    first = farthest(reach_in_tree(edges, start))
-    reached = reach_in_tree(edges, first)
-    node = farthest(reached)
-    length, path = reached[node][1], [node]
-    while reached[node][0] >= 0:
-        node = reached[node][0]
-        path.append(node)
-    return path, length
-
-
-def tree_edges(edges: DataFrame) -> list[tuple[int, int, float]]:
-    """The edges of a tree, on the driver; a larger tree than ``TREE_EDGES`` is refused, never cut (see ``tree_reach``)."""
-    held = cut_lineage(edges.select("u", "w", "d"))
-    if held.count() > TREE_EDGES:
-        raise ValueError(f"a tree of more than {TREE_EDGES} edges is walked by tree_reach()")
-    table = held.toArrow()
-    return list(zip(*(table.column(c).to_pylist() for c in ("u", "w", "d")), strict=True))
-
-
 def backbone(spark: SparkSession, points: DataFrame) -> DataFrame:
     """(idx, node, z, y, x): the points along the diameter of the spanning tree, renumbered from 0."""
-    least = points.agg(F.min("idx")).first()[0]
-    edges = tree_edges(minimum_spanning_tree(points))
-    path = diameter_path(edges, least)[0] if edges else [least] if least is not None else []
-    along = spark.createDataFrame(list(enumerate(path)), "idx int, node int")
-    places = points.select(F.col("idx").alias("node"), *(F.col(a).cast("double").alias(a) for a in AXES))
+    held = cut_lineage(points.select("idx", *AXES))
+    least = held.agg(F.min("idx")).first()[0]
+    edges = minimum_spanning_tree(held)
+    if edges.isEmpty():
+        along = held.select(F.lit(0).alias("idx"), F.col("idx").cast("int").alias("node"))  # one point or none
+    else:
+        along = diameter(edges, least)[3]
+    places = held.select(F.col("idx").alias("node"), *(F.col(a).cast("double").alias(a) for a in AXES))
     return along.join(places, "node").select("idx", "node", *AXES)

@@ -1,8 +1,10 @@
-"""Region growing: one flood by joins, and many masks with ownership."""
+"""Region growing: one flood, and many masks with ownership."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,38 +13,25 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import hash16, hash32
 from ..params import SvdParams
-from .graph import cut_lineage
+from .regions import reached
 from .sampling import seed_pixels
+from .store import cut_lineage
 
-#: Pixels of a plane up to which a fill runs on one bit map of it.
-MAX_PIXELS = 100_000_000
-#: Seeds that are drawn for each mask that is asked for, to begin with.
-SEEDS_PER_MASK = 16
+#: Seeds whose masks are grown in one pass, and those drawn for each mask that is asked for, to begin with.
+BATCH, SEEDS_PER_MASK = 16, 16
 #: Draws after which a search for seeds is given up.
 MAX_DRAWS = 1 << 26
-STEPS = ((0, 1), (0, -1), (1, 0), (-1, 0))
+#: Peak below which a mask is given up.
+LEAST_PEAK = 0.01
 
 
 def flood(pixels: DataFrame, seeds: DataFrame, accept: Column) -> DataFrame:
     """(y, x): accepted ``pixels`` that four-neighbour steps over accepted pixels reach from ``seeds`` (y, x).
 
-    A level of steps per round: the frontier meets the pixels in an equality join and leaves out what
-    was reached. A seed itself is in only if it is accepted and has an accepted neighbour.
+    A seed itself is in only if it is accepted and has an accepted neighbour.
     """
-    open_ = cut_lineage(pixels.where(accept).select("y", "x").distinct())
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in STEPS))
-    reached: DataFrame | None = None
-    frontier = seeds.select("y", "x")
-    while True:
-        stepped = frontier.select("y", "x", F.explode(steps).alias("step"))
-        around = stepped.select((F.col("y") + F.col("step.dy")).alias("y"), (F.col("x") + F.col("step.dx")).alias("x"))
-        new = around.distinct().join(open_, ["y", "x"], "left_semi")
-        if reached is not None:
-            new = new.join(reached, ["y", "x"], "left_anti")
-        frontier = cut_lineage(new)
-        if frontier.isEmpty():
-            return reached if reached is not None else open_.limit(0)
-        reached = cut_lineage(frontier if reached is None else reached.unionByName(frontier))
+    plane = F.lit(0).alias("m")
+    return reached(pixels.where(accept).select(plane, "y", "x"), seeds.select(plane, "y", "x")).select("y", "x")
 
 
 @dataclass(frozen=True)
@@ -74,81 +63,97 @@ def grow_masks(spark: SparkSession, u: DataFrame, params: SvdParams) -> Masks:
 
     A seed is the next draw whose pixel belongs to no mask and has a mean loading above the draw's
     threshold. A mask may take pixels of earlier ones, which keep them too; a mask whose peak stays below
-    0.01 is given up, and its number tried again, at most ``max_retries`` times over all masks.
-    Likeness is computed where the loadings lie; the driver holds a bit map of the plane, whose size is
-    checked, and gets the pixels that resemble one seed. A row outside the plane is refused.
+    LEAST_PEAK is given up, and its number tried again, at most ``max_retries`` times over all masks.
+    What a seed's mask would be does not depend on the other masks, so BATCH seeds are grown in a pass; which of
+    them count follows from whether an earlier one took their pixel. Masks and owned pixels are
+    tables; the driver sees a few numbers of each seed. A row outside the plane is refused, and so is
+    a plane where MAX_DRAWS draws give too few seeds.
     """
     pixels, parts = params.width * params.height, params.colors - 1
-    if pixels > MAX_PIXELS:
-        raise ValueError("the plane is too large for one bit map; use flood()")
     held = cut_lineage(loadings(u, parts))
     last = held.agg(F.max("px")).first()[0]
     if last is not None and last >= pixels:
         raise ValueError(f"row {last} lies outside a plane of {params.width} x {params.height}")
-    owner = np.zeros(pixels, dtype=bool)
-    masks: list[pa.Table] = []
+    owned = spark.createDataFrame([], "px long")
+    masks: list[DataFrame] = []
     boxes: list[tuple] = []
     seeds: list[tuple] = []
     tried, draws, retries = 0, 4096, 0
-    while len(seeds) < params.masks and retries <= params.max_retries and draws <= MAX_DRAWS:
-        free = spark.createDataFrame([], "px long")  # ownership changes with every mask and is asked of the bit map
+    while len(seeds) < params.masks and retries <= params.max_retries:
+        free = spark.createDataFrame([], "px long")  # ownership is asked of every batch
         found = seed_pixels(held, seed_draws(spark, draws, pixels, params.seed), free, params.scale, tried + SEEDS_PER_MASK * params.masks)
         rows = found.join(held, "px").orderBy("d").select("px", "load").collect()  # a bounded number of seeds
-        for row in rows[tried:]:
-            tried += 1
-            if owner[row["px"]]:
+        if len(rows) <= tried:
+            if draws > MAX_DRAWS:
+                raise ValueError(f"{draws} draws gave seeds for {len(seeds)} of {params.masks} masks")
+            draws *= 4
+            continue
+        batch = rows[tried : tried + BATCH]
+        tried += len(batch)
+        grown, facts, taken, gone = grown_from(held, [r["load"] for r in batch], [r["px"] for r in batch], owned, params)
+        numbers: dict[int, int] = {}
+        done: list[int] = []
+        for j, row in enumerate(batch):
+            if row["px"] in gone or any(i in taken.get(row["px"], ()) for i in done):
                 continue
             if len(seeds) == params.masks or retries > params.max_retries:
                 break
-            taken, likeness = resembling(held, row["load"], row["px"], params)
-            owner[taken] = True
-            values = np.clip(likeness / params.colors, 0, 1)
-            if not len(taken) or values.max() < 0.01:
+            done.append(j)
+            peak, *box = facts.get(j, (0.0,))
+            if peak < LEAST_PEAK:
                 retries += 1
                 continue
-            ys, xs = (part.astype(np.int32) for part in np.divmod(taken, params.width))
-            m = len(seeds)
-            masks.append(pa.table({"m": np.full(len(taken), m, dtype=np.int32), "y": ys, "x": xs, "val": values}))
-            boxes.append((m, int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max())))
-            seeds.append((m, row["px"]))
-        draws *= 4
-    none = pa.table({"m": np.empty(0, np.int32), "y": np.empty(0, np.int32), "x": np.empty(0, np.int32), "val": np.empty(0)})
+            numbers[j] = len(seeds)
+            boxes.append((len(seeds), *box))
+            seeds.append((len(seeds), row["px"]))
+        owned = cut_lineage(owned.unionByName(grown.where(F.col("j").isin(done)).select("px")).distinct())
+        if numbers:
+            named = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
+            masks.append(grown.where(F.col("j").isin(list(numbers))).select(named[F.col("j")].alias("m"), "y", "x", "val"))
+    none = spark.createDataFrame([], "m int, y int, x int, val double")
     return Masks(
-        spark.createDataFrame(pa.concat_tables(masks or [none])),
+        reduce(DataFrame.unionByName, masks, none),
         spark.createDataFrame(boxes, "m int, xmin int, xmax int, ymin int, ymax int"),
         spark.createDataFrame(seeds, "m int, row long"),
         len(seeds),
     )
 
 
-def resembling(held: DataFrame, seed: list[float], at: int, params: SvdParams) -> tuple[np.ndarray, np.ndarray]:
-    """(pixels, likeness) of what four-neighbour steps reach from ``at`` over pixels of ``held`` (px, load) that resemble the seed's loading."""
-    products = F.zip_with("load", F.array(*map(F.lit, seed)), lambda a, b: a * b)
-    likeness = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) * params.scale**2
-    table = held.select("px", likeness.alias("likeness")).where(F.col("likeness") > params.threshold).toArrow()
-    px, values = table.column("px").to_numpy(), table.column("likeness").to_numpy()
-    accepted = np.zeros(params.width * params.height, dtype=bool)
-    accepted[px] = True
-    taken = fill(accepted, params.width, at)
-    order = np.argsort(px)
-    return taken, values[order][np.searchsorted(px[order], taken)]
-
-
-def fill(accepted: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Indices that four-neighbour steps over ``accepted`` reach from ``seed``, level by level."""
-    field = accepted.reshape(-1, width)
-    reached = np.zeros_like(field)
-    front = np.zeros_like(field)
-    front.reshape(-1)[seed] = True
-    while front.any():
-        around = np.zeros_like(field)
-        around[1:] |= front[:-1]
-        around[:-1] |= front[1:]
-        around[:, 1:] |= front[:, :-1]
-        around[:, :-1] |= front[:, 1:]
-        front = around & field & ~reached
-        reached |= front
-    return np.flatnonzero(reached)
+def grown_from(held: DataFrame, loads: list[list[float]], at: list[int], owned: DataFrame, params: SvdParams) -> tuple[DataFrame, dict, dict, set]:
+    """What each of a batch of seeds would take: (grown (j, px, y, x, val), facts, taken, gone).
+
+    facts has peak, xmin, xmax, ymin, ymax of each seed j that takes any pixel, taken the seeds that take
+    a seed's pixel, and gone the seeds' pixels that are owned already.
+    """
+    alike = resembling(held, loads, params)
+    place = [F.floor(F.col("px") / params.width).cast("int").alias("y"), (F.col("px") % params.width).cast("int").alias("x")]
+    accepted = cut_lineage(alike.select("j", "px", *place, "likeness"))
+    seeds = held.sparkSession.createDataFrame([(j, px) for j, px in enumerate(at)], "j int, px long")
+    inside = reached(accepted.select(F.col("j").alias("m"), "y", "x"), seeds.select(F.col("j").alias("m"), *place))
+    val = F.least(F.greatest(F.col("likeness") / params.colors, F.lit(0.0)), F.lit(1.0)).alias("val")
+    grown = cut_lineage(accepted.join(inside.withColumnRenamed("m", "j"), ["j", "y", "x"]).select("j", "px", "y", "x", val))
+    box = [f(c) for c in ("x", "y") for f in (F.min, F.max)]
+    facts = {r[0]: tuple(r)[1:] for r in grown.groupBy("j").agg(F.max("val"), *box).collect()}
+    pixels = F.broadcast(seeds.select("px").distinct())
+    taken: dict[int, set[int]] = {}
+    for row in grown.join(pixels, "px").select("px", "j").collect():
+        taken.setdefault(row["px"], set()).add(row["j"])
+    return grown, facts, taken, {r["px"] for r in owned.join(pixels, "px").collect()}
+
+
+def resembling(held: DataFrame, loads: list[list[float]], params: SvdParams) -> DataFrame:
+    """(j, px, likeness) of the pixels of ``held`` (px, load) that resemble the j-th of ``loads``."""
+    seeds = np.array(loads, dtype=float)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("load").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            likeness = own @ seeds.T * params.scale**2
+            row, j = np.nonzero(likeness > params.threshold)
+            px = batch.column("px").to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(px, pa.int64()), pa.array(likeness[row, j])], names=["j", "px", "likeness"])
+
+    return held.select("px", "load").mapInArrow(compare, "j int, px long, likeness double")
 
 
 def bounding_boxes(mask: DataFrame) -> DataFrame:

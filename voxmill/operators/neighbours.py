@@ -8,19 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, distance
-from .graph import cut_lineage
+from .store import cut_lineage
 
 #: A control set of at most this many rows is broadcast; a larger one is joined by grid cells.
 BROADCAST_ROWS = 2000
 
 
-def pairwise_distances(points: DataFrame) -> DataFrame:
-    """(u, w, d) for all pairs u < w of ``points`` (idx, z, y, x); meant for sample-sized sets."""
-    a = points.select(F.col("idx").alias("u"), *(F.col(c).alias(f"a{c}") for c in AXES))
-    b = points.select(F.col("idx").alias("w"), *(F.col(c).alias(f"b{c}") for c in AXES))
-    return a.join(b, F.col("u") < F.col("w")).select("u", "w", distance("a", "b").alias("d"))
-
-
 def nearest(points: DataFrame, controls: DataFrame, key: str = "d") -> DataFrame:
     """``points`` (key, z, y, x, ...) with nn: the idx of the nearest control, the lowest of equal ones.
 

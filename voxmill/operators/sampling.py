@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import hash16
+from ..functions.geometry import hash16, hash60
+from .store import cut_lineage
 
 
 def uniform_draws(spark: SparkSession, n: int, depth: int, height: int, width: int, seed: int) -> DataFrame:
@@ -31,6 +36,65 @@ def bright_points(voxels: DataFrame, draws: DataFrame, n: int) -> DataFrame:
     return first.select((F.row_number().over(Window.orderBy("d")) - 1).cast("int").alias("idx"), "z", "y", "x", "v")
 
 
+class BrightnessIndex:
+    """Running sums of brightness of a volume (z, y, x, v): over its planes, its rows in a plane, and its voxels in a row.
+
+    A draw is a number below the sum of all brightness, and belongs to the voxel in whose share it lies: it
+    is looked up among the planes, then among the rows of its plane, then among the voxels of its row. n
+    draws give n points, however dark the volume is, and any range of draws can be made on its own.
+    """
+
+    def __init__(self, voxels: DataFrame):
+        self.voxels = voxels.where("v > 0")
+        self.rows = cut_lineage(self.voxels.groupBy("z", "y").agg(F.sum("v").alias("w")))
+        planes = self.rows.groupBy("z").agg(F.sum("w").alias("w")).orderBy("z").toArrow()  # a number for each plane
+        self.planes = planes.column("z").to_numpy()
+        self.ends = np.cumsum(planes.column("w").to_numpy().astype(np.int64))
+
+    @property
+    def total(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def draws(self, first: int, last: int, seed: int) -> DataFrame:
+        """(d, z, y, x, v) of the draws from ``first`` up to ``last``: uniform over the brightness, with replacement."""
+        spark = self.voxels.sparkSession
+        if not self.total:
+            raise ValueError("the volume is too dark to be sampled")
+        ends, planes = self.ends, self.planes
+
+        def among_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                r = batch.column("r").to_numpy()
+                at = np.searchsorted(ends, r, side="right")
+                left = r - np.concatenate(([0], ends))[at]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(planes[at], pa.int32()), pa.array(left)], names=["d", "z", "r"])
+
+        drawn = spark.range(first, last).select(F.col("id").alias("d"), (hash60(seed, 7, F.col("id")) % self.total).alias("r"))
+        in_plane = drawn.mapInArrow(among_planes, "d long, z int, r long")
+        in_row = in_plane.groupBy("z").cogroup(self.rows.groupBy("z")).applyInArrow(looked_up("z", "y"), "d long, z int, y int, r long, v long")
+        held = cut_lineage(in_row.select("d", "z", "y", "r"))
+        asked = self.voxels.join(held.select("z", "y").distinct(), ["z", "y"], "left_semi").select("z", "y", "x", F.col("v").cast("long").alias("w"))
+        found = held.groupBy("z", "y").cogroup(asked.groupBy("z", "y")).applyInArrow(looked_up("z", "y", "x"), "d long, z int, y int, x int, r long, v long")
+        return found.select("d", "z", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+def looked_up(*keys: str):
+    """Draws (d, r) of a group of ``keys`` but the last, among its parts (last key, w): which part's share r lies in, what is left of r, and the part's share."""
+
+    def look_up(key: tuple, draws: pa.Table, parts: pa.Table) -> pa.Table:
+        order = np.argsort(parts.column(keys[-1]).to_numpy())
+        part, weight = parts.column(keys[-1]).to_numpy()[order], parts.column("w").to_numpy()[order].astype(np.int64)
+        ends = np.cumsum(weight)
+        r = draws.column("r").to_numpy()
+        at = np.searchsorted(ends, r, side="right")
+        known = {name: pa.array([value.as_py()] * len(r), pa.int32()) for name, value in zip(keys, key)}
+        left, share = (r - (ends - weight)[at], weight[at]) if len(r) else (r, r)
+        last = part[at] if len(r) else np.empty(0, np.int32)
+        return pa.table({"d": draws.column("d"), **known, keys[-1]: pa.array(last, pa.int32()), "r": pa.array(left, pa.int64()), "v": pa.array(share, pa.int64())})
+
+    return look_up
+
+
 def bright_sample(voxels: DataFrame, seed: int) -> DataFrame:
     """Each voxel at most once, with a probability in proportion to its brightness; a plain filter."""
     return voxels.where(F.col("v") > hash16(seed, F.col("z"), F.col("y"), F.col("x")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import colour
 from ..functions.geometry import AXES, linear_index
-from ..operators import contour, factor, graph, grow, neighbours, resample, sampling, spectrum, spline, stats
+from ..operators import contour, factor, graph, grow, neighbours, resample, sampling, spectrum, spline, stats, store, tours
 from ..params import DimensionsParams, SamplerParams, StraightenParams, SvdParams
 from ..sources import images, raw_volume, text_files
 from . import outputs, programs
@@ -74,15 +74,15 @@ EDGES = """edges as (select a.idx u, b.idx w, sqrt(pow(a.z - b.z, 2) + pow(a.y -
 PRIM = """prim as (select 0 step, [0] inside, -1 u, 0 w, cast(0 as double) d
     union all select step + 1, list_append(inside, w2), u2, w2, d2 from (
         select step, inside, e.u u2, e.w w2, e.d d2 from prim join edges e
-        on list_contains(inside, e.u) and not list_contains(inside, e.w) order by e.d, e.u, e.w limit 1)),
+        on list_contains(inside, e.u) and not list_contains(inside, e.w) order by e.d, least(e.u, e.w), greatest(e.u, e.w) limit 1)),
 tree as (select u, w, d from prim where u >= 0),
 both_ways as (select u a, w b, d from tree union all select w, u, d from tree)"""
 SWEEPS = """sweep1 as (select 0 node, -1 prev, cast(0 as double) dist
     union all select b, a, dist + d from sweep1 join both_ways on a = node where b <> prev),
-tip1 as (select node from sweep1 order by dist desc, node limit 1),
+tip1 as (select node from sweep1 order by round(dist, 9) desc, node limit 1),
 sweep2 as (select node, -1 prev, cast(0 as double) dist, [node] path from tip1
     union all select b, a, dist + d, list_append(path, b) from sweep2 join both_ways on a = node where b <> prev),
-tip2 as (select node, dist, path from sweep2 order by dist desc, node limit 1)"""
+tip2 as (select node, dist, path from sweep2 order by round(dist, 9) desc, node limit 1)"""
 CONTROLS = "controls(idx, z, y, x) as (values " + ", ".join(f"({i}, cast({z} as double), cast({y} as double), cast({x} as double))" for i, z, y, x in fx.CONTROLS) + ")"
 
 
@@ -100,8 +100,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of points as a table of its own, so that what follows does not draw it again."""
-    rows = points(spark, sf_dir).collect()
-    return spark.createDataFrame([tuple(row) for row in rows], "idx int, z int, y int, x int, v int")
+    return store.cut_lineage(points(spark, sf_dir))
 
 
 def bright(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +177,14 @@ def bright_draws(spark, sf_dir):
     return points(spark, sf_dir)
 
 
+#: A draw is a place on the line of all brightness; its voxel is the first whose running sum lies beyond it.
+@register("weighted_draws", f"""with {VOX}, ends as (select *, sum(v) over (order by z, y, x) e from vox where v > 0),
+drawn as (select d, cast('0x' || substr(md5(concat_ws('|', {fx.SEED}, 7, d)), 1, 15) as bigint) % (select max(e) from ends) r from range({fx.DRAWS}) t(d))
+select d, z, y, x, v from drawn join ends on r >= e - v and r < e""")
+def weighted_draws(spark, sf_dir):
+    return sampling.BrightnessIndex(fx.voxels(spark, sf_dir)).draws(0, fx.DRAWS, fx.SEED)
+
+
 @register("sample_refresh", f"""with {POINTS}, later as (select d, z, y, x, {sql_hash(fx.SEED, 4, 'd')} % {fx.POINTS} idx from
     (select * from accepted where d > (select max(d) from (select d from accepted order by d limit {fx.POINTS})) order by d limit 12)),
 written as (select idx, arg_max(z, d) z, arg_max(y, d) y, arg_max(x, d) x from later group by idx)
@@ -225,7 +232,7 @@ def signal_rescale(spark, sf_dir):
 
 @register("pairwise_distance", f"with {POINTS}, {EDGES} select u, w, round(d, 6) d from edges where u < w")
 def pairwise_distance(spark, sf_dir):
-    return rounded(neighbours.pairwise_distances(points(spark, sf_dir)), "d")
+    return rounded(graph.pairwise_distances(points(spark, sf_dir)), "d")
 
 
 CENTROIDS = ", ".join(f"round(cast(sum({c}) as double) / count(*), 6) c{c}" for c in AXES)
@@ -249,26 +256,26 @@ def nearest_grid(spark, sf_dir):
     return neighbours.nearest_by_grid(bright(spark, sf_dir), fx.controls(spark)).select("d", "nn")
 
 
-@register("mst_edges", f"with recursive {POINTS}, {EDGES}, {PRIM} select u, w, round(d, 6) d from tree")
+@register("mst_edges", f"with recursive {POINTS}, {EDGES}, {PRIM} select least(u, w) u, greatest(u, w) w, round(d, 6) d from tree")
 def mst_edges(spark, sf_dir):
-    return rounded(graph.minimum_spanning_tree(points(spark, sf_dir)), "d")
+    return rounded(graph.minimum_spanning_tree(held_points(spark, sf_dir)), "d")
 
 
 @register("mst_weight_distributed", f"with recursive {POINTS}, {EDGES}, {PRIM} select count(*) n, round(sum(d), 6) total from tree")
 def mst_weight_distributed(spark, sf_dir):
-    tree = graph.boruvka(neighbours.pairwise_distances(held_points(spark, sf_dir)))
+    tree = graph.tree_by_distance(held_points(spark, sf_dir))
     return rounded(tree.agg(F.count("*").alias("n"), F.sum("d").alias("total")), "total")
 
 
 @register("tree_reach", f"with recursive {POINTS}, {EDGES}, {PRIM}, {SWEEPS} select node, prev, round(dist, 6) dist from sweep1")
 def tree_reach(spark, sf_dir):
-    return rounded(graph.tree_reach(graph.minimum_spanning_tree(points(spark, sf_dir)), 0), "dist")
+    return rounded(tours.tree_reach(graph.minimum_spanning_tree(held_points(spark, sf_dir)), 0), "dist")
 
 
 @register("diameter_ends", f"with recursive {POINTS}, {EDGES}, {PRIM}, {SWEEPS} select tip1.node tip1, tip2.node tip2, round(tip2.dist, 6) length from tip1, tip2")
 def diameter_ends(spark, sf_dir):
-    path, length = graph.diameter_path(graph.tree_edges(graph.minimum_spanning_tree(points(spark, sf_dir))))
-    return spark.createDataFrame([(path[-1], path[0], round(length, 6))], "tip1 int, tip2 int, length double")
+    first, second, length, _ = tours.diameter(graph.minimum_spanning_tree(held_points(spark, sf_dir)), 0)
+    return spark.createDataFrame([(first, second, round(length, 6))], "tip1 int, tip2 int, length double")
 
 
 @register("backbone", f"""with recursive {POINTS}, {EDGES}, {PRIM}, {SWEEPS},
@@ -430,7 +437,7 @@ def straight_resample(spark, sf_dir):
 
 @register("straighten_program")
 def straighten_program(spark, sf_dir):
-    params = StraightenParams(mst_points=fx.POINTS, contour_points=200, replaced_per_iteration=5, max_iterations=200, stable_iterations=20, out_width=OUT_WIDTH, out_extra=EXTRA)
+    params = StraightenParams(out_width=OUT_WIDTH, out_extra=EXTRA)
     return programs.straighten(spark, fx.voxels(spark, sf_dir), SHAPE, params).volume
 
 
@@ -504,7 +511,7 @@ flood as (select f.y, f.x from field f, first_ s where abs(f.y - s.y) + abs(f.x
     union select f.y, f.x from flood p, field f where abs(f.y - p.y) + abs(f.x - p.x) = 1)
 select y, x from flood""")
 def region_grow(spark, sf_dir):
-    plane = graph.cut_lineage(fx.voxels(spark, sf_dir).where("z = 3").select("y", "x", "v"))
+    plane = store.cut_lineage(fx.voxels(spark, sf_dir).where("z = 3").select("y", "x", "v"))
     level = plane.agg(F.avg("v")).first()[0]
     accept = F.col("v") > 0.9 * level
     return grow.flood(plane, plane.where(accept).orderBy("y", "x").limit(1), accept)
@@ -662,7 +669,7 @@ def bbox_json(spark, sf_dir):
 
 def new_folder(spark: SparkSession) -> str:
     """A new folder for files that all tasks write to, among what the cluster shares."""
-    folder = os.path.join(graph.shared_folder(spark).removeprefix("file://"), f"voxmill-{uuid.uuid4().hex}")
+    folder = os.path.join(store.shared_folder(spark).removeprefix("file://"), f"voxmill-{uuid.uuid4().hex}")
     os.makedirs(folder)
     return folder
 

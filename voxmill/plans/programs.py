@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, voxel_value
-from ..operators import contour, factor, graph, grow, resample, sampling, spectrum, spline, stats
+from ..operators import contour, factor, graph, grow, resample, sampling, spectrum, spline, stats, store
 from ..params import DimensionsParams, SamplerParams, StraightenParams, SvdParams
 
 
@@ -36,29 +37,27 @@ class Straightened:
     shape: resample.OutputShape
 
 
-def bright_points(spark: SparkSession, voxels: DataFrame, shape: resample.Shape, n: int, seed: int) -> list:
-    """The first ``n`` accepted draws in order; as many draws are made as the volume's brightness asks for."""
-    draws, rows = 16 * n, []
-    while len(rows) < n and draws <= 1 << 32:
-        drawn = sampling.uniform_draws(spark, draws, shape.depth, shape.height, shape.width, seed)
-        rows = sampling.accepted_draws(voxels, drawn).orderBy("d").limit(n).collect()
-        draws *= 8
-    return rows
+#: Draws of the volume that the contour loop gets at a time.
+DRAW_BLOCK = 20_000
 
 
-def find_backbone(spark: SparkSession, voxels: DataFrame, shape: resample.Shape, params: StraightenParams, attempts: int = 5) -> tuple[np.ndarray, int]:
+def find_backbone(spark: SparkSession, voxels: DataFrame, params: StraightenParams, attempts: int = 5) -> tuple[np.ndarray, int]:
     """(controls, iterations): spanning tree of a bright sample, its diameter, and the refined line along it."""
+    index = sampling.BrightnessIndex(voxels)
     for attempt in range(attempts):
         seed = params.seed + 2 * attempt
-        rows = bright_points(spark, voxels, shape, params.mst_points, seed)
-        points = np.array([[row[a] for a in AXES] for row in rows], dtype=float).reshape(-1, 3)
-        if len(points) < 2:
-            raise ValueError("the volume is too dark to be sampled")
-        path, _ = graph.diameter_path(graph.prim(points))
-        pool = bright_points(spark, voxels, shape, 4 * params.contour_points, seed + 1)
-        places = np.array([[row[a] for a in AXES] for row in pool], dtype=float)
-        weights = np.array([row["v"] if params.weighted else 1 for row in pool], dtype=float)
-        line, iterations, converged = contour.refine_line(points[path], places, weights, params)
+        sample = store.cut_lineage(index.draws(0, params.mst_points, seed).select(F.col("d").cast("int").alias("idx"), *AXES))
+        path = np.array([[row[a] for a in AXES] for row in graph.backbone(spark, sample).orderBy("idx").collect()], dtype=float)
+
+        def fetch(first: int, last: int, seed=seed) -> tuple[np.ndarray, np.ndarray]:
+            rows = index.draws(first, last, seed + 1).orderBy("d").toArrow()  # a block of draws
+            places = np.stack([rows.column(a).to_numpy() for a in AXES], axis=1).astype(float)
+            return places, rows.column("v").to_numpy().astype(float) if params.weighted else np.ones(len(places))
+
+        if len(path) < 2:
+            continue  # a sample of one point has no line
+        draws = contour.Draws(fetch, max(params.contour_points, DRAW_BLOCK))
+        line, iterations, converged = contour.refine_line(path, draws, params)
         if converged:
             return line, iterations
     raise ValueError(f"no line settled in {attempts} attempts")
@@ -66,7 +65,7 @@ def find_backbone(spark: SparkSession, voxels: DataFrame, shape: resample.Shape,
 
 def straighten(spark: SparkSession, voxels: DataFrame, shape: resample.Shape, params: StraightenParams, controls: np.ndarray | None = None) -> Straightened:
     """Find the centre line (or take ``controls``) and resample the volume along it."""
-    line, iterations = (controls, 0) if controls is not None else find_backbone(spark, voxels, shape, params)
+    line, iterations = (controls, 0) if controls is not None else find_backbone(spark, voxels, params)
     curve = spline.natural_spline(np.asarray(line, dtype=float))
     out = resample.output_shape(shape, curve.length, params)
     rows = spark.range(out.height).select(F.col("id").cast("int").alias("j"), (F.col("id") - out.extra).cast("double").alias("s"))
@@ -91,22 +90,31 @@ class Cells:
 
 
 def factors(px: DataFrame, time: int, dim: int, cache: str | None = None) -> factor.Svd:
-    """The first ``dim`` components of a stack; kept under ``cache``, and read from there if they were kept before."""
+    """The first ``dim`` components of a stack; kept under ``cache``, and read from there if those of the same stack and parameters were kept before."""
     spark = px.sparkSession
     if cache is None:
         return factor.truncated_svd(px, time, dim)
-    if not kept_before(spark, cache):
+    label = {"time": time, "dim": dim, **content(px)}
+    if kept_label(spark, cache) != label:
         factor.save(factor.truncated_svd(px, time, dim), cache)
+        spark.createDataFrame([(json.dumps(label, sort_keys=True),)], "label string").coalesce(1).write.mode("overwrite").parquet(f"{cache}/label")
     return factor.load(spark, cache)
 
 
-def kept_before(spark: SparkSession, cache: str) -> bool:
-    """Whether ``cache`` has all factors; the singular values are written last."""
+def content(px: DataFrame) -> dict[str, str]:
+    """Number of cells, their sum and two sums of hashes: what tells a stack (px, t, v) from another."""
+    cell = F.struct(F.col("px").cast("long"), F.col("t").cast("long"), F.col("v").cast("double"))
+    wide = lambda h: F.sum(h.cast("decimal(20, 0)"))
+    row = px.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38, 6)")), wide(F.xxhash64(cell)), wide(F.xxhash64(F.lit(1), cell))).first()
+    return dict(zip(("cells", "sum", "first", "second"), map(str, row), strict=True))
+
+
+def kept_label(spark: SparkSession, cache: str) -> dict | None:
+    """What the factors under ``cache`` were made of; the label is written last, so without it they are not whole."""
     try:
-        spark.read.parquet(f"{cache}/s")
+        return json.loads(spark.read.parquet(f"{cache}/label").first()["label"])
     except AnalysisException:
-        return False
-    return True
+        return None
 
 
 def find_cells(spark: SparkSession, px: DataFrame, time: int, params: SvdParams, cache: str | None = None) -> Cells:
