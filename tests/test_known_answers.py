@@ -34,14 +34,32 @@ def test_nearest_voxel_of_a_ramp(spark):
     assert found == {0: 1240.0, 1: 0.0}
 
 
-def test_raw_volume_round_trip(spark, tmp_path):
-    path = str(tmp_path / "ramp.raw")
-    raw_volume.write_raw(ramp(spark), path, SHAPE.depth, SHAPE.height, SHAPE.width)
-    dense = np.fromfile(path, "<u2").reshape(SHAPE.depth, SHAPE.height, SHAPE.width)
-    assert dense[3, 4, 5] == 3450
-    raw_volume.register(spark)
+@pytest.mark.parametrize("layout", ["file", "parts"])
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_raw_volume_round_trip(spark, tmp_path, layout, scheme):
+    path = f"{scheme}{tmp_path}/new/ramp.raw"
+    for _ in range(2):  # the second overwrites
+        raw_volume.write_raw(ramp(spark).repartition(5), path, SHAPE.depth, SHAPE.height, SHAPE.width, layout)
+    if layout == "file":
+        assert np.fromfile(tmp_path / "new" / "ramp.raw", "<u2").reshape(SHAPE.depth, SHAPE.height, SHAPE.width)[3, 4, 5] == 3450
+    assert [p.name for p in (tmp_path / "new").iterdir()] == ["ramp.raw"]
     read = spark.read.format("rawvol").options(width=SHAPE.width, height=SHAPE.height, planesPerPartition=1).load(path)
-    assert read.exceptAll(ramp(spark)).isEmpty() and read.count() == dense.size
+    assert read.exceptAll(ramp(spark)).isEmpty() and read.count() == SHAPE.depth * SHAPE.height * SHAPE.width
+    assert read.where("z = 2").count() == SHAPE.height * SHAPE.width
+
+
+@pytest.mark.parametrize("layout", ["file", "parts"])
+def test_a_failed_task_leaves_no_half_volume(spark, tmp_path, layout):
+    bad = ramp(spark).withColumn("v", F.when(F.col("z") == 3, 70_000).otherwise(F.col("v")))
+    path = tmp_path / "ramp.raw"
+    with pytest.raises(Exception, match="16 bits"):
+        raw_volume.write_raw(bad, str(path), SHAPE.depth, SHAPE.height, SHAPE.width, layout)
+    assert list(tmp_path.iterdir()) == []
+    raw_volume.write_raw(ramp(spark).where("z = 3"), str(path), SHAPE.depth, SHAPE.height, SHAPE.width, layout)  # other planes are 0
+    before = raw_volume.Stored(str(path)).read(0, 2 * SHAPE.depth * SHAPE.height * SHAPE.width)
+    with pytest.raises(Exception, match="16 bits"):
+        raw_volume.write_raw(bad, str(path), SHAPE.depth, SHAPE.height, SHAPE.width, layout)
+    assert raw_volume.Stored(str(path)).read(0, len(before)) == before and not any(before[: 2 * SHAPE.height * SHAPE.width])
 
 
 @pytest.mark.parametrize("value, accepted", [(0, 0), (65535, 64)])

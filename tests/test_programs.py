@@ -334,10 +334,25 @@ def test_many_controls_are_met_in_a_grid(spark, monkeypatch):
     assert {(r["d"], r["nn"]) for r in neighbours.nearest(points, controls).collect()} == few
 
 
-def test_correlations_need_enough_steps(spark):
-    rows = [(m, t, float((m + 1) * t % 5)) for m in range(3) for t in range(4)]
-    found = stats.delayed_correlation(spark.createDataFrame(rows, "m int, t int, val double"), 3, least=3).collect()
-    assert {r["lag"] for r in found} == {0, 1} and len(found) == 18
+@pytest.mark.parametrize("block", [4, stats.BLOCK])
+def test_the_strongest_partners_are_those_of_all_pairs(spark, block):
+    rng = np.random.default_rng(9)
+    values = {(m, t): float(rng.normal() + m) for m in range(17) for t in range(9) if rng.random() < 0.8}
+    values |= {(20, t): 5.0 for t in range(9)} | {(21, 0): 1.0, (21, 1): 2.0}  # flat, and too short
+    values |= {(22, t): values.get((3, t), 0.0) for t in range(9)} | {(23, t): values.get((3, t), 0.0) for t in range(9)}  # ties
+    expected = []
+    for a in sorted({m for m, _ in values}):
+        found = []
+        for b in {m for m, _ in values} - {a}:
+            for lag in range(4):
+                both = [(values[a, t], values[b, t + lag]) for t in range(9) if (a, t) in values and (b, t + lag) in values]
+                x, y = np.array(both).T if both else ([], [])
+                if len(both) >= 3 and np.std(x) > 1e-9 and np.std(y) > 1e-9:
+                    found.append((-round(float(np.corrcoef(x, y)[0, 1]), 9), b, lag))
+        expected += [(a, i + 1, b, lag, -r) for i, (r, b, lag) in enumerate(sorted(found)[:5])]
+    table = spark.createDataFrame([(m, t, v) for (m, t), v in values.items()], "m int, t int, val double").repartition(3)
+    rows = stats.delayed_correlation(table, 3, 5, least=3, block=block).orderBy("a", "rank").collect()
+    assert [tuple(r)[:4] for r in rows] == [e[:4] for e in expected] and [r["r"] for r in rows] == pytest.approx([e[4] for e in expected])
 
 
 def test_the_depth_of_an_output_and_its_slice():

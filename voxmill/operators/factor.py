@@ -104,9 +104,27 @@ def load(spark: SparkSession, path: str) -> Svd:
 
 
 def reconstruct(svd: Svd) -> DataFrame:
-    """(row, t, val): the sum over components of U S V^T."""
-    right = svd.vt.join(F.broadcast(svd.s.withColumnRenamed("val", "s")), "k").select("k", "t", (F.col("val") * F.col("s")).alias("sv"))
-    return svd.u.join(F.broadcast(right), "k").groupBy("row", "t").agg(F.sum(F.col("val") * F.col("sv")).alias("val"))
+    """(row, t, val): the sum over components of U S V^T.
+
+    The right side is a matrix of components x columns, both bounded by parameters. The parts of a row are
+    gathered once, and its columns are made where they lie.
+    """
+    right = svd.vt.join(F.broadcast(svd.s.withColumnRenamed("val", "s")), "k").select("k", "t", (F.col("val") * F.col("s")).alias("sv")).toArrow()
+    k, t = (right.column(c).to_numpy() for c in ("k", "t"))
+    matrix = np.zeros((k.max() + 1, t.max() + 1) if len(k) else (1, 0))
+    matrix[k, t] = right.column("sv").to_numpy()
+    columns = np.unique(t).astype(np.int32)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            loads = batch.column("load").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            values = (loads @ matrix)[:, columns]
+            rows = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.tile(columns, batch.num_rows)), pa.array(values.reshape(-1))], names=["row", "t", "val"])
+
+    cells = svd.u.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "val"))).alias("cells"))
+    load = F.transform(F.sequence(F.lit(0), F.lit(len(matrix) - 1)), lambda k: F.coalesce(F.element_at("cells", k), F.lit(0.0)))
+    return cells.select(F.col("row").cast("long").alias("row"), load.alias("load")).mapInArrow(multiply, "row long, t int, val double")
 
 
 def seed_trace(svd: Svd, row: int, colors: int) -> DataFrame:

@@ -126,12 +126,12 @@ def top_lags(correlation: DataFrame, n: int = 50, min_lag: int = 1) -> DataFrame
 
 
 def shape_candidates(correlation: DataFrame, length: int, n: int, max_lag: int, max_width: int | None = None) -> DataFrame:
-    """(width, height, depth, score): W is the lag (up to ``max_width``) with the highest correlation; H any
+    """(width, height, depth, score): W is the lag (up to ``max_width``) with the highest correlation (to four digits, then the lowest lag); H any
     number for which W * H divides ``length``; the score is the correlation at lag W * H, null where that
     is not below n.
     """
     widths = correlation if max_width is None else correlation.where(F.col("lag") <= max_width)
-    best = widths.agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("width"))
+    best = widths.agg(F.max_by("lag", F.struct(F.round("r", 4), -F.col("lag"))).alias("width"))
     heights = best.select("width", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("height"))
     plane = F.col("width") * F.col("height")
     fits = heights.where((plane <= length) & (F.lit(length) % plane == 0))

@@ -7,13 +7,12 @@ checked by the tests.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -86,6 +85,18 @@ tip2 as (select node, dist, path from sweep2 order by round(dist, 9) desc, node
 CONTROLS = "controls(idx, z, y, x) as (values " + ", ".join(f"({i}, cast({z} as double), cast({y} as double), cast({x} as double))" for i, z, y, x in fx.CONTROLS) + ")"
 
 
+#: A line with a control for each day of the stack.
+LINE = f"""controls as (select cast(row_number() over (order by t) - 1 as int) idx, cast(sum(v) % 61 as double) z, cast(sum(v * (px + 1)) % 67 as double) y, cast(sum(v * (px + 3)) % 71 as double) x
+    from stack group by t)"""
+
+
+def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = fx.stack(spark, sf_dir).groupBy("t").agg(
+        *((F.sum(F.col("v") * (F.col("px") + more if more else 1)) % size).cast("double").alias(a) for a, more, size in (("z", 0, 61), ("y", 1, 67), ("x", 3, 71)))
+    )
+    return days.select((F.row_number().over(Window.orderBy("t")) - 1).cast("int").alias("idx"), *AXES)  # one row a day
+
+
 def distance_sql(a: str, b: str) -> str:
     return "sqrt(" + " + ".join(f"pow({a}.{c} - {b}.{c}, 2)" for c in AXES) + ")"
 
@@ -156,10 +167,25 @@ def shape_candidates(spark, sf_dir):
     return rounded(found, "score", digits=4)
 
 
-@register("infer_shape", f"{SHAPES} select width, height, depth, case when width * height <= {BEST_WIDTH} then score end score from found where height <= {BEST_WIDTH}")
+#: A period on a ramp, so that of all its multiples the period itself fits best; in hundredths, whose sums are exact.
+RAMP = 2000
+INFER = f"""with size as (select count(*) n, least(count(*), {DimensionsParams().fourier_n}) head from events),
+series as (select event_id i, cast(round(value * 100) as bigint) + case when event_id % {PERIOD} = 0 then 40000 else 0 end + cast({RAMP} * event_id // n as bigint) * 100 v
+    from events, size where event_id < head),
+lists as (select list(cast(v as double) order by i) own, list_concat(own, own) twice from series),
+acf as (select cast(lag as int) lag, list_dot_product(own, twice[lag + 1:lag + head]) r from range(1, {DimensionsParams().max_dim + 1}) l(lag), size, lists where lag < head),
+best as (select lag w from acf order by r desc, lag limit 1),
+cand as (select w, cast(h as int) h from best, size, range(1, {DimensionsParams().max_dim + 1}) t(h) where w * h <= n and n % (w * h) = 0)
+select w width, h height, cast(n // (w * h) as int) depth, round(cast(r as double) / 10000, 4) score from cand cross join size left join acf on lag = w * h"""
+
+
+@register("infer_shape", INFER)
 def infer_shape(spark, sf_dir):
-    values = fx.series(spark, sf_dir, PERIOD)
-    return rounded(programs.infer_shape(values, values.count(), DimensionsParams(max_dim=BEST_WIDTH)), "score", digits=4)
+    events = fx.read(spark, sf_dir, "events")
+    n = events.count()
+    i = F.col("event_id")
+    value = F.col("value") + F.when(i % PERIOD == 0, 400).otherwise(0) + F.floor(RAMP * i / n)
+    return rounded(programs.infer_shape(events.select(i.alias("i"), value.alias("v")), n, DimensionsParams()), "score", digits=4)
 
 
 @register("vox_moments", f"with {VOX} select count(v) n, round(avg(v), 6) mean, round(stddev_samp(v), 6) sd, min(v) least, max(v) most from vox")
@@ -219,10 +245,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGNALS = f"{STACK}, signals as (select px m, t, cast(v as double) val from stack)"
 
 
-@register("delayed_corr", f"""with {SIGNALS}, lags as (select cast(range as int) lag from range(0, 4))
-select a.m a, b.m b, lag, round(corr(a.val, b.val), 6) r from signals a, lags, signals b where b.t = a.t + lag group by 1, 2, 3 having count(*) > 2""")
+@register("delayed_corr", f"""with {SIGNALS}, lags as (select cast(range as int) lag from range(0, 4)),
+pairs as (select a.m a, b.m b, lag, corr(a.val, b.val) r from signals a, lags, signals b where b.t = a.t + lag and a.m <> b.m group by 1, 2, 3 having count(*) > 2),
+ranked as (select *, cast(row_number() over (partition by a order by round(r, 9) desc, b, lag) as int) "rank" from pairs where r is not null and not isnan(r))
+select a, "rank", b, lag, round(r, 6) r from ranked where "rank" <= 5""")
 def delayed_corr(spark, sf_dir):
-    return rounded(stats.delayed_correlation(signals(spark, sf_dir), 3, least=3), "r")
+    return rounded(stats.delayed_correlation(signals(spark, sf_dir), 3, partners=5, least=3), "r")
 
 
 @register("signal_rescale", f"with {SIGNALS} select m, t, round((val - (select min(val) from signals)) / ((select avg(val) from signals) - (select min(val) from signals)), 6) val from signals")
@@ -304,9 +332,9 @@ def stencil_sql(c: str) -> str:
 STENCIL = f"stencil as (select idx, z, y, x, {', '.join(map(stencil_sql, AXES))} from controls)"
 
 
-@register("contour_stencil", f"with {CONTROLS}, {STENCIL} select * from stencil")
+@register("contour_stencil", f"with {STACK}, {LINE}, {STENCIL} select * from stencil")
 def contour_stencil(spark, sf_dir):
-    return contour.curvature_stencil(fx.controls(spark))
+    return contour.curvature_stencil(line(spark, sf_dir))
 
 
 def step_sql(c: str) -> str:
@@ -335,12 +363,11 @@ CHORD = f"""stepped as (select *, coalesce(sqrt({' + '.join(f'pow({c} - lag({c})
 chord as (select idx, z, y, x, sum(step) over (order by idx) s from stepped)"""
 
 
-@register("chord_length", f"with {CONTROLS}, {CHORD} select idx, z, y, x, round(s, 6) s from chord")
+@register("chord_length", f"with {STACK}, {LINE}, {CHORD} select idx, z, y, x, round(s, 6) s from chord")
 def chord_length(spark, sf_dir):
-    return rounded(spline.chord_lengths(fx.controls(spark)), "s")
+    return rounded(spline.chord_lengths(line(spark, sf_dir)), "s")
 
 
-LAST = len(fx.CONTROLS) - 1
 #: Natural spline by elimination forwards and substitution backwards, for all axes at once.
 SPLINE = f"""knots as (select axis, idx i, s, val from chord unpivot (val for axis in (z, y, x))),
 rows_ as (select b.axis, b.i, b.s - a.s h0, c.s - b.s h1, 6 * ((c.val - b.val) / (c.s - b.s) - (b.val - a.val) / (b.s - a.s)) r
@@ -348,7 +375,7 @@ rows_ as (select b.axis, b.i, b.s - a.s h0, c.s - b.s h1, 6 * ((c.val - b.val) /
 forward as (select axis, i, h1 / (2 * (h0 + h1)) cp, r / (2 * (h0 + h1)) dp from rows_ where i = 1
     union all select n.axis, n.i, n.h1 / (2 * (n.h0 + n.h1) - n.h0 * f.cp), (n.r - n.h0 * f.dp) / (2 * (n.h0 + n.h1) - n.h0 * f.cp)
     from forward f join rows_ n on n.axis = f.axis and n.i = f.i + 1),
-backward as (select axis, {LAST} i, cast(0 as double) m from (select distinct axis from knots)
+backward as (select axis, max(i) i, cast(0 as double) m from knots group by axis
     union all select f.axis, f.i, f.dp - f.cp * b.m from backward b join forward f on f.axis = b.axis and f.i = b.i - 1),
 second as (select axis, i, m from backward union all select axis, 0, 0 from (select distinct axis from knots)),
 spline as (select a.axis, a.i, a.s s0, b.s s1, a.val a, (b.val - a.val) / (b.s - a.s) - (b.s - a.s) * (2 * ma.m + mb.m) / 6 b, ma.m / 2 c,
@@ -360,9 +387,13 @@ def control_spline() -> spline.Spline:
     return spline.natural_spline(np.array([c[1:] for c in fx.CONTROLS]))
 
 
-@register("spline_coeffs", f"with recursive {CONTROLS}, {CHORD}, {SPLINE} select axis, i, {', '.join(f'round({k}, 6) + 0.0 {k}' for k in ('s0', 's1', 'a', 'b', 'c', 'd'))} from spline")
+def day_spline(spark: SparkSession, sf_dir: str) -> spline.Spline:
+    return spline.natural_spline(np.array([[r[a] for a in AXES] for r in line(spark, sf_dir).orderBy("idx").collect()]))  # one row a day
+
+
+@register("spline_coeffs", f"with recursive {STACK}, {LINE}, {CHORD}, {SPLINE} select axis, i, {', '.join(f'round({k}, 6) + 0.0 {k}' for k in ('s0', 's1', 'a', 'b', 'c', 'd'))} from spline")
 def spline_coeffs(spark, sf_dir):
-    return rounded(spline.spline_table(spark, control_spline()), "s0", "s1", "a", "b", "c", "d")
+    return rounded(spline.spline_table(spark, day_spline(spark, sf_dir)), "s0", "s1", "a", "b", "c", "d")
 
 
 def line_output() -> resample.OutputShape:
@@ -370,13 +401,14 @@ def line_output() -> resample.OutputShape:
     return resample.output_shape(SHAPE, control_spline().length, params)
 
 
-def line_frames(spark: SparkSession) -> DataFrame:
-    rows = spark.range(line_output().height).select(F.col("id").cast("int").alias("j"), (F.col("id") - EXTRA).cast("double").alias("s"))
-    return spline.spline_frames(rows, spline.spline_table(spark, control_spline()))
+def line_frames(spark: SparkSession, curve: spline.Spline | None = None) -> DataFrame:
+    curve = curve or control_spline()
+    rows = spark.range(int(curve.length) + 2 * EXTRA).select(F.col("id").cast("int").alias("j"), (F.col("id") - EXTRA).cast("double").alias("s"))
+    return spline.spline_frames(rows, spline.spline_table(spark, curve))
 
 
 FRAMES = f"""size as (select cast(floor(max(s1)) as int) + 2 * {EXTRA} h, max(s1) len from spline),
-place as (select cast(range as int) j, cast(range as double) - {EXTRA} s, least(greatest(cast(range as double) - {EXTRA}, 0), len) c from size, range(0, 1000) where range < h),
+place as (select cast(range as int) j, cast(range as double) - {EXTRA} s, least(greatest(cast(range as double) - {EXTRA}, 0), len) c from size, range(0, 100000) where range < h),
 evaluated as (select j, axis, a + t * (b + t * (c_ + t * d)) + over_ * (b + t * (2 * c_ + t * 3 * d)) p, b + t * (2 * c_ + t * 3 * d) slope from
     (select j, axis, a, b, spline.c c_, d, place.c - s0 t, s - place.c over_ from place, size join spline on place.c >= s0 and (place.c < s1 or (place.c = len and s1 = len)))),
 wide as (select j, {', '.join(f"max(case when axis = '{c}' then p end) p{c}, max(case when axis = '{c}' then slope end) d{c}" for c in AXES)} from evaluated group by j),
@@ -386,9 +418,9 @@ frames as (select j, pz, py, px, 0.0 uz, uy, ux, {', '.join(f'r{c} / sqrt(rz * r
 FRAME_COLUMNS = [f"{k}{c}" for k in "pun" for c in AXES]
 
 
-@register("spline_frames", f"with recursive {CONTROLS}, {CHORD}, {SPLINE}, {FRAMES} select j, {', '.join(f'round(cast({c} as double), 6) + 0.0 {c}' for c in FRAME_COLUMNS)} from frames")
+@register("spline_frames", f"with recursive {STACK}, {LINE}, {CHORD}, {SPLINE}, {FRAMES} select j, {', '.join(f'round(cast({c} as double), 6) + 0.0 {c}' for c in FRAME_COLUMNS)} from frames")
 def spline_frames(spark, sf_dir):
-    return rounded(line_frames(spark), *FRAME_COLUMNS)
+    return rounded(line_frames(spark, day_spline(spark, sf_dir)), *FRAME_COLUMNS)
 
 
 def gather_sql(points_cte: str) -> str:
@@ -553,12 +585,13 @@ def embedding_similarity(spark, sf_dir):
     return rounded(vectors.join(F.broadcast(seed)).select("vec_id", dot.alias("dot")).where("dot > 0.1"), "dot")
 
 
-GRID3 = "grid3 as (select c.range / 8.0 c, s.range / 8.0 s, l.range / 8.0 l from range(0, 9) c(range), range(0, 9) s(range), range(0, 9) l(range)), g as (select cast(c as double) c, cast(s as double) s, cast(l as double) l from grid3)"
+#: Cells of the stack as colours: hue by pixel, saturation by day, lightness by value.
+CELLS3 = f"{STACK}, g as (select px, t, (px % 9) / 8.0e0 c, (t % 9) / 8.0e0 s, least(v / 4000.0e0, 1) l from stack)"
 
 
-def colour_grid(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(729).select((F.floor(i / 81) / 8.0).alias("c"), ((F.floor(i / 9) % 9) / 8.0).alias("s"), ((i % 9) / 8.0).alias("l"))
+def colour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px, t = F.col("px"), F.col("t")
+    return fx.stack(spark, sf_dir).select("px", "t", ((px % 9) / 8.0).alias("c"), ((t % 9) / 8.0).alias("s"), F.least(F.col("v") / 4000.0, F.lit(1.0)).alias("l"))
 
 
 def inverse_sql(t: str) -> str:
@@ -589,20 +622,20 @@ def with_rgb(df: DataFrame, channels: list) -> DataFrame:
     return df.select("*", *(c.alias(n) for c, n in zip(channels, "rgb", strict=True)))
 
 
-@register("csl_to_rgb", f"with {GRID3}, {rgb_sql(f'select c, s, l, l * 0.7e0 light, sin({ANGLE}) * (s * 0.426e0) a, cos({ANGLE}) * (s * 0.426e0) b from g')} select c, s, l, {RGB} from xyz")
+@register("csl_to_rgb", f"with {CELLS3}, {rgb_sql(f'select px, t, c, s, l, l * 0.7e0 light, sin({ANGLE}) * (s * 0.426e0) a, cos({ANGLE}) * (s * 0.426e0) b from g')} select px, t, c, s, l, {RGB} from xyz")
 def csl_to_rgb(spark, sf_dir):
-    return with_rgb(colour_grid(spark), colour.csl_to_rgb(F.col("c"), F.col("s"), F.col("l")))
+    return with_rgb(colour_cells(spark, sf_dir), colour.csl_to_rgb(F.col("c"), F.col("s"), F.col("l")))
 
 
-@register("cl_to_rgb", f"with {GRID3}, {rgb_sql(f'select c, l, l * 0.7e0 light, sin({ANGLE}) * (l * 0.301e0 + 0.125e0) a, cos({ANGLE}) * (l * 0.301e0 + 0.125e0) b from g where s = 0')} select c, l, {RGB} from xyz")
+@register("cl_to_rgb", f"with {CELLS3}, {rgb_sql(f'select px, t, c, l, l * 0.7e0 light, sin({ANGLE}) * (l * 0.301e0 + 0.125e0) a, cos({ANGLE}) * (l * 0.301e0 + 0.125e0) b from g')} select px, t, c, l, {RGB} from xyz")
 def cl_to_rgb(spark, sf_dir):
-    return with_rgb(colour_grid(spark).where("s = 0").select("c", "l"), colour.cl_to_rgb(F.col("c"), F.col("l")))
+    return with_rgb(colour_cells(spark, sf_dir).select("px", "t", "c", "l"), colour.cl_to_rgb(F.col("c"), F.col("l")))
 
 
-@register("lab_to_xyz", f"with {GRID3}, {rgb_sql('select c, s, l, c light, s - 0.5e0 a, l - 0.5e0 b from g')} select c, s, l, round(cx, 6) + 0.0 cx, round(cy, 6) + 0.0 cy, round(cz, 6) + 0.0 cz from xyz")
+@register("lab_to_xyz", f"with {CELLS3}, {rgb_sql('select px, t, c, s, l, c light, s - 0.5e0 a, l - 0.5e0 b from g')} select px, t, c, s, l, round(cx, 6) + 0.0 cx, round(cy, 6) + 0.0 cy, round(cz, 6) + 0.0 cz from xyz")
 def lab_to_xyz(spark, sf_dir):
     xyz = colour.lab_to_xyz(F.col("c"), F.col("s") - 0.5, F.col("l") - 0.5)
-    return rounded(colour_grid(spark).select("*", *(p.alias(n) for p, n in zip(xyz, ("cx", "cy", "cz"), strict=True))), "cx", "cy", "cz")
+    return rounded(colour_cells(spark, sf_dir).select("*", *(p.alias(n) for p, n in zip(xyz, ("cx", "cy", "cz"), strict=True))), "cx", "cy", "cz")
 
 
 def hsv_sql(shift: int) -> str:
@@ -610,9 +643,9 @@ def hsv_sql(shift: int) -> str:
     return f"cast(floor((l - l * s * greatest(0, least({k}, 4 - {k}, 1))) * 255.0e0) as int)"
 
 
-@register("hsv_to_rgb", f"with {GRID3} select c, s, l, {hsv_sql(5)} r, {hsv_sql(3)} g, {hsv_sql(1)} b from g")
+@register("hsv_to_rgb", f"with {CELLS3} select px, t, c, s, l, {hsv_sql(5)} r, {hsv_sql(3)} g, {hsv_sql(1)} b from g")
 def hsv_to_rgb(spark, sf_dir):
-    return with_rgb(colour_grid(spark), colour.hsv_to_rgb(F.col("c"), F.col("s"), F.col("l")))
+    return with_rgb(colour_cells(spark, sf_dir), colour.hsv_to_rgb(F.col("c"), F.col("s"), F.col("l")))
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -627,18 +660,18 @@ def component_colour(spark, sf_dir):
     return rounded(stats.component_colours(own, stats.component_directions(own, fx.SEED), "m"), "hue", "saturation")
 
 
-@register("palette", f"""with k as (select cast(range as int) k from range(1, 20)), drawn as (select k, {', '.join(f"({sql_hash(fx.SEED, i, 'k')} + 0.5e0) / 65536.0e0 {n}" for i, n in enumerate('rgb'))} from k)
+@register("palette", f"""with {STACK}, k as (select distinct px + 1 k from stack), drawn as (select k, {', '.join(f"({sql_hash(fx.SEED, i, 'k')} + 0.5e0) / 65536.0e0 {n}" for i, n in enumerate('rgb'))} from k)
 select k, {', '.join(f'round({n} * (0.02e0 / (0.33e0 * r + 0.33e0 * g + 0.33e0 * b)), 6) {n}' for n in 'rgb')} from drawn""")
 def palette(spark, sf_dir):
-    return rounded(stats.palette(spark.range(20).select(F.col("id").cast("int").alias("k")), fx.SEED), "r", "g", "b")
+    return rounded(stats.palette(fx.stack(spark, sf_dir).select((F.col("px") + 1).alias("k")), fx.SEED), "r", "g", "b")
 
 
-@register("additive_blend", f"""with {MASKS}, {STACK}, sig as (select px m, t, cast(v as double) / 3000 light from stack),
+@register("additive_blend", f"""with {MASKS}, {STACK}, sig as (select px % {fx.DEPTH} m, t, avg(cast(v as double)) / 3000 light from stack group by 1, 2),
 lit as (select t, y, x, m / 7.0e0 c, 0.5e0 s, light * val l from masks join sig using (m)),
 {rgb_sql(f'select t, y, x, l * 0.7e0 light, sin({ANGLE}) * (s * 0.426e0) a, cos({ANGLE}) * (s * 0.426e0) b from lit')},
 added as (select t, y, x, sum(cx) cx, sum(cy) cy, sum(cz) cz from xyz group by 1, 2, 3) select t, y, x, {RGB} from added""")
 def additive_blend(spark, sf_dir):
-    own = fx.stack(spark, sf_dir).select(F.col("px").alias("m"), "t", (F.col("v").cast("double") / 3000).alias("val"))
+    own = fx.stack(spark, sf_dir).groupBy((F.col("px") % fx.DEPTH).alias("m"), "t").agg((F.avg(F.col("v").cast("double")) / 3000).alias("val"))  # each trace lights one mask
     colours = spark.range(fx.DEPTH).select(F.col("id").cast("int").alias("m"), (F.col("id") / 7.0).alias("hue"), F.lit(0.5).alias("saturation"))
     return stats.additive_blend(masks(spark, sf_dir), own, colours)
 
@@ -656,9 +689,9 @@ def coloured_stack(spark, sf_dir):
     return outputs.coloured_stack(dense, colours, fx.STACK_WIDTH)
 
 
-@register("spline_tsv", f"with {CONTROLS} select idx, printf('%.10f', z) || chr(9) || printf('%.10f', y) || chr(9) || printf('%.10f', x) line from controls")
+@register("spline_tsv", f"with {STACK}, {LINE} select idx, printf('%.10f', z) || chr(9) || printf('%.10f', y) || chr(9) || printf('%.10f', x) line from controls")
 def spline_tsv(spark, sf_dir):
-    return text_files.control_lines(fx.controls(spark))
+    return text_files.control_lines(line(spark, sf_dir))
 
 
 @register("bbox_json", f"""with {MASKS}, boxes as (select m, min(x) xmin, max(x) xmax, min(y) ymin, max(y) ymax from masks group by m)
@@ -667,18 +700,16 @@ def bbox_json(spark, sf_dir):
     return text_files.box_json(grow.bounding_boxes(masks(spark, sf_dir)))
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder for files that all tasks write to, among what the cluster shares."""
-    folder = os.path.join(store.shared_folder(spark).removeprefix("file://"), f"voxmill-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    return folder
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path among what the cluster shares."""
+    return f"{store.shared_folder(spark)}/voxmill-{uuid.uuid4().hex}/{name}"
 
 
 @register("raw_roundtrip", f"""with {VOX} select cast(z.range as int) z, cast(y.range as int) y, cast(x.range as int) x, coalesce(v, 0) v
     from range(0, {fx.DEPTH}) z(range), range(0, {fx.HEIGHT}) y(range), range(0, {fx.WIDTH}) x(range)
     left join vox on vox.z = z.range and vox.y = y.range and vox.x = x.range""")
 def raw_roundtrip(spark, sf_dir):
-    path = os.path.join(new_folder(spark), "volume.raw")
+    path = new_path(spark, "volume.raw")
     raw_volume.write_raw(fx.voxels(spark, sf_dir), path, fx.DEPTH, fx.HEIGHT, fx.WIDTH)
     raw_volume.register(spark)
     return spark.read.format("rawvol").options(width=fx.WIDTH, height=fx.HEIGHT, planesPerPartition=2).load(path)
