@@ -607,7 +607,18 @@ def test_licences_are_found_and_prose_is_not(spark, odd, licence_model):
 def test_licences_that_no_model_saw_are_unknown(spark, licence_model):
     table = spark.createDataFrame(list(enumerate(licence_texts.UNSEEN)), "doc_id long, text string")
     found = licenses.scan_licences(table, licence_model).collect()
-    assert len(found) >= 0.7 * len(licence_texts.UNSEEN) and {r["family"] for r in found} == {"unknown"}
+    assert len(found) >= 0.9 * len(licence_texts.UNSEEN) >= 9 and {r["family"] for r in found} == {"unknown"}
+
+
+def test_headings_and_tags_of_all_families_are_confirmed(spark, licence_model):
+    tags = {"mit": "MIT", "isc": "ISC", "apache": "Apache-2.0", "gpl": "GPL-3.0-or-later", "bsd": "BSD-3-Clause", "mpl": "MPL-2.0", "cc-by": "CC-BY-4.0", "cc-by-nc": "CC-BY-NC-4.0", "public-domain": "CC0-1.0"}
+    lines = [(family, f"SPDX-License-Identifier: {tag}") for family, tag in tags.items()]
+    lines += [("mit", "MIT License"), ("mit", "The MIT License (MIT)"), ("isc", "ISC License"), ("apache", "Apache License"), ("bsd", "BSD 3-Clause License"), ("mpl", "Mozilla Public License Version 2.0"), ("gpl", "GPLv3")]
+    lines += [("unknown", "Licensed under the EUPL, Version 1.2."), ("unknown", "The software is provided as is, without warranty of any kind.")]
+    prose = ["He gave his permission to the students of MIT.", "The apache helicopter landed.", "The general public may use the public library.", "The house was sold as is."]
+    table = spark.createDataFrame([(i, text) for i, text in enumerate([text for _, text in lines] + prose)], "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in licenses.scan_licences(table, licence_model).collect()}
+    assert found == {i: family for i, (family, _) in enumerate(lines)}
 
 
 def test_licence_scores_are_the_slow_ones_and_the_gate_drops_nothing(spark, docs, licence_model):

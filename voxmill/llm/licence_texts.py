@@ -66,6 +66,27 @@ NOTICES = {
     ],
 }
 
+#: What stands above a licence, and names that say by themselves which it is.
+HEADINGS = {
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"],
+    "isc": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "apache": ["Apache License", "Apache License Version 2.0, January 2004", "Apache License, Version 2.0", "The Apache Software License, Version 2.0"],
+    "gpl": [
+        "GNU General Public License", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU Lesser General Public License", "GNU Affero General Public License",
+        "GNU General Public License v3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GPLv3", "GPLv2", "LGPLv3", "AGPLv3",
+    ],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "The BSD License", "New BSD License", "Simplified BSD License"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+    "cc-by": [
+        "Creative Commons Attribution 4.0 International", "Creative Commons Attribution ShareAlike 4.0 International", "Attribution 4.0 International", "Attribution-ShareAlike 4.0 International",
+        "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz",
+        "Esta obra está bajo una licencia Creative Commons Reconocimiento 4.0 Internacional",
+        "Cette œuvre est mise à disposition selon les termes de la licence Creative Commons Attribution 4.0 International",
+    ],
+    "cc-by-nc": ["Creative Commons Attribution NonCommercial 4.0 International", "Attribution-NonCommercial 4.0 International", "Attribution-NonCommercial-ShareAlike 4.0 International"],
+    "public-domain": ["CC0 1.0 Universal", "The Unlicense", "Creative Commons Zero", "Public Domain Dedication"],
+}
+
 #: How short references call the licences of a family.
 NAMES = {
     "mit": ["the MIT License", "the MIT license", "MIT", "an MIT-style license", "the terms of the MIT license", "the Expat (MIT) licence", "license MIT"],
@@ -103,6 +124,27 @@ STRANGE = [
     "Copyright by the publisher, license on request.",
     "No permission to copy, redistribute or modify without written consent of the copyright holder.",
     "This software is provided without warranty of any kind.",
+    "The software is provided as is, without warranties of any sort.",
+    "This program is provided as is and without any warranty.",
+    "Provided as is, with no warranty, express or implied.",
+    "These tools are provided as is, without warranty of any kind, by the makers.",
+    "The code comes as is and without warranty of any kind.",
+    "Released under the Springfield Public License.",
+    "Licensed under the Harbour Public License, version 3.",
+    "Everyone is permitted to use it under the Take What You Like Public License.",
+    "Licensed under the WTPL, Version 2.",
+    "Licensed under the CDDL, version 1.0.",
+    "Licensed under the OSL 3.0.",
+    "Licensed under the CPL, Version 1.0 or later.",
+    "Licensed under the Lucent Public License Version 1.02.",
+    "This file is licensed under the Sleepycat Licence.",
+    "Released under the Nokia Open Source License, version 1.0a.",
+    "Everyone may copy and distribute verbatim copies of this licence document.",
+    "Copyright 2015 by the library, no copying without leave.",
+    "Use of this data is licensed under the open data licence of the ministry.",
+    "Distributed under the Software Notice and Licence of the consortium.",
+    "This software is licensed under the Foundation License.",
+    "Dieses Programm steht unter der Lizenz des Herstellers.",
     "Distributed under the Boost Software License, Version 1.0.",
     "This software is provided as-is, without any express or implied warranty; altered source versions must be plainly marked as such, under the zlib license.",
     "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0.",
@@ -129,6 +171,10 @@ UNSEEN = [
     "Copyright 2011 by the museum, all rights reserved, no copying.",
     "Use of this data set is licensed under the terms of the provincial open government licence.",
     "Distributed under the W3C Software Notice and License.",
+    "Licensed under the NCSA, Version 1.2.",
+    "This software is licensed under the CeCILL License version 2.1.",
+    "The software is provided as is, without warranty of any kind, by the university.",
+    "Licensed under the Vovida Software License, Version 1.0.",
 ]
 
 #: Invented names and holders, for notices of no family by the same frames.

@@ -78,15 +78,23 @@ def training_texts() -> list[tuple[str, str]]:
     strange = [part for text in texts.STRANGE for part in with_halves(text)] + [frame.format(name) for frame in texts.FRAMES for name in texts.INVENTED]
     strange += [frame.format(holder) for frame in texts.RIGHTS for holder in texts.HOLDERS]
     prose = [frame.format(trap) for trap in texts.TRAPS for frame in texts.SENTENCES] + texts.PROSE
-    return notices + references(texts.FRAMES) + [(UNKNOWN, text) for text in strange] + [(NONE, text) for text in prose]
+    headings = [(family, heading) for family, many in texts.HEADINGS.items() for heading in many]
+    return notices + headings + references(texts.FRAMES) + [(UNKNOWN, text) for text in strange] + [(NONE, text) for text in prose]
 
 
 def templates() -> dict[str, list[list[str]]]:
-    """The n-grams of two and three words of each family's notices and names."""
+    """The n-grams of two and three words of each family's notices, headings and references, of which a reference's hold a word of its name.
+
+    A heading of one word that only licences have is a template of its own.
+    """
     found = {}
     for family, paragraphs in texts.NOTICES.items():
-        grams = [[g for g in grams_of(text) if " " in g] for text in paragraphs + [f"under {name}" for name in texts.NAMES[family]]]
-        found[family] = [own for own in grams if own]
+        whole = [[g for g in grams_of(text) if " " in g or " " not in text] for text in paragraphs + texts.HEADINGS[family]]
+        named = []
+        for name in texts.NAMES[family]:
+            own = set(re.findall(WORD, name.lower())) - texts.FUNCTION_WORDS
+            named += [[g for g in grams_of(frame.format(name)) if " " in g and own & set(g.split(" "))] for frame in ("under {}", "SPDX-License-Identifier: {}")]
+        found[family] = [own for own in whole + named if own]
     return found
 
 
