@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns (frames or features) up to which the Gram matrix is decomposed in one place.
+from .wide import wide_svd
+
+#: Columns (frames or features) up to which the Gram matrix is decomposed in one place; more are left to random mixtures.
 MAX_COLUMNS = 4000
 
 
@@ -65,9 +67,13 @@ def sparse_gram(px: DataFrame) -> DataFrame:
 def truncated_svd(px: DataFrame, columns: int, k: int) -> Svd:
     """The first ``k`` components, or as many as the rank has, with the largest entry of each v positive.
 
-    Only the small Gram matrix is decomposed on the driver; U = A V / S is a projection of the rows.
+    Only the small Gram matrix is decomposed on the driver; U = A V / S is a projection of the rows. Of more
+    than MAX_COLUMNS columns there is no such matrix (see ``wide_svd``).
     """
     spark = px.sparkSession
+    if columns > MAX_COLUMNS:
+        u, vt, values = wide_svd(px.where(F.col("t").between(0, columns - 1)), k)
+        return Svd(u, vt, spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "k int, val double"), len(values))
     rows = traces(px, columns)
     values, vectors = np.linalg.eigh(gram_matrix(rows, columns))
     order = np.argsort(-values)[:k]
