@@ -12,7 +12,7 @@ white space before a word, and between plain letters and marks), and each distin
 bounded size.
 
 Null and empty texts have no ids and decode to the empty text. Texts of any length are encoded
-whole. Added tokens of the vocabulary are recognised inside texts, as the tokenizers library does.
+whole, repeated rows each. Other columns are not read, whatever their names. An empty table gives an empty one. Added tokens of the vocabulary are recognised inside texts, as the tokenizers library does.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ longest text. The start of a text is padded, so that texts shorter than k have k
 counts as empty; empty texts have equal fingerprints, and so have all equal texts. Every row is
 compared, repeated rows too: rows follow one another by (doc_id, text), null ids first, and rows
 that are equal in both have each other as next. A table of one row has itself as next; an empty
-table gives an empty one. Other columns are not read, whatever their names.
+table gives an empty one. Other columns are not read, whatever their names. Rows are put in order by ranges of
+doc_id; those without one, or with the same one, lie in one range, which one task sorts with spilling.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ a key has many rows.
 
 Texts are equal when they are identical; a null text counts as empty. The row with the largest
 doc_id stays; a null doc_id is smaller than any other. Of rows that repeat both text and doc_id, one
-stays. An empty table gives an empty one.
+stays. Texts of any length are hashed whole, and only digests are shuffled for the map. Other columns are not
+read for the map and passed on by ``deduplicate``, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations

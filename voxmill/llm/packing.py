@@ -8,8 +8,8 @@ lengths that are powers of two, which need no padding.
 
 Each task packs the documents of its own partition in blocks of a bounded number of tokens, so
 nothing is shuffled, memory does not grow with the partition, and no group of rows is gathered.
-Equal rows are packed as often as they occur; a null text has only the closing id; an empty table
-gives an empty one.
+Equal rows are packed as often as they occur; a null text has only the closing id; texts of any length
+are encoded whole. Other columns are not read, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations

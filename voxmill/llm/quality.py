@@ -6,8 +6,9 @@ weighs the rules and drops most of them; the ones that are left are compiled int
 
 Statistics are built-in expressions over the whole text, so scoring is a projection without a
 shuffle. A null text has the statistics of an empty one. If nothing can be learned (no labels, or
-one class only), every score is the smoothed share of label 1. Repeated rows get the same score; an
-empty table gives an empty one.
+one class only), every score is the smoothed share of label 1. Repeated rows get the same score, and texts of
+any length are read whole. Other columns are passed on, whatever their names: columns that are made on the
+way take names that no column has. An empty table gives an empty one.
 """
 
 from __future__ import annotations
