@@ -277,9 +277,11 @@ def slow_reach(edges, root):
 def test_trees_by_pairs_and_by_grid_are_the_slow_one(spark, monkeypatch, pairs):
     monkeypatch.setattr(graph, "ALL_PAIRS", pairs)
     rng, n = np.random.default_rng(3), 40
-    places = np.concatenate((rng.integers(0, 5, (n - 2, 3)), rng.uniform(-60, 60, (2, 3)))).astype(float)  # with ties and repeated points
+    places = np.concatenate((rng.integers(0, 5, (n - 2, 3)), rng.uniform(-60, 60, (2, 3)))).astype(float)  # with ties
+    places[5:9] = places[20]  # and repeated points
     points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "idx int, z double, y double, x double")
     found = sorted(map(tuple, graph.minimum_spanning_tree(points.repartition(3)).select("u", "w", "d").collect()))
+    assert len({tuple(p) for p in places}) < n
     slow = slow_tree(places)
     assert [e[:2] for e in found] == [e[:2] for e in slow] and [e[2] for e in found] == pytest.approx([e[2] for e in slow])
 

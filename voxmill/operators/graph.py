@@ -47,6 +47,16 @@ def tree_by_distance(points: DataFrame) -> DataFrame:
     for, but only from the points outside the largest component. An edge that is longer than another
     is never needed between parts that shorter ones connect, so the result is that of all pairs.
     """
+    # Points in one place hang on the lowest of them, by edges that come before all others.
+    placed = points.select("idx", *AXES)
+    lowest = cut_lineage(placed.groupBy(*AXES).agg(F.min("idx").alias("idx")))
+    hanging = placed.withColumnRenamed("idx", "w").join(lowest.withColumnRenamed("idx", "u"), list(AXES)).where("u <> w")
+    apart = tree_of_places(lowest)
+    return apart.unionByName(hanging.select("u", "w", F.lit(0.0).alias("d")))
+
+
+def tree_of_places(points: DataFrame) -> DataFrame:
+    """As ``tree_by_distance``, of points no two of which lie in one place."""
     # The first length is about the distance of neighbours where most points are, so that pairs stay in proportion to points.
     middle = [quartiles[1] - quartiles[0] for quartiles in points.approxQuantile(list(AXES), [0.25, 0.75], 0.01)]
     reach = float((np.prod([max(float(width), 1e-3) for width in middle]) / max(points.count() / 8, 1)) ** (1 / 3))
