@@ -79,9 +79,6 @@ HEADINGS = {
     "mpl": ["Mozilla Public License", "Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
     "cc-by": [
         "Creative Commons Attribution 4.0 International", "Creative Commons Attribution ShareAlike 4.0 International", "Attribution 4.0 International", "Attribution-ShareAlike 4.0 International",
-        "Dieses Werk ist lizenziert unter einer Creative Commons Namensnennung 4.0 International Lizenz",
-        "Esta obra está bajo una licencia Creative Commons Reconocimiento 4.0 Internacional",
-        "Cette œuvre est mise à disposition selon les termes de la licence Creative Commons Attribution 4.0 International",
     ],
     "cc-by-nc": ["Creative Commons Attribution NonCommercial 4.0 International", "Attribution-NonCommercial 4.0 International", "Attribution-NonCommercial-ShareAlike 4.0 International"],
     "public-domain": ["CC0 1.0 Universal", "The Unlicense", "Creative Commons Zero", "Public Domain Dedication"],
@@ -144,7 +141,6 @@ STRANGE = [
     "Use of this data is licensed under the open data licence of the ministry.",
     "Distributed under the Software Notice and Licence of the consortium.",
     "This software is licensed under the Foundation License.",
-    "Dieses Programm steht unter der Lizenz des Herstellers.",
     "Distributed under the Boost Software License, Version 1.0.",
     "This software is provided as-is, without any express or implied warranty; altered source versions must be plainly marked as such, under the zlib license.",
     "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0.",
