@@ -21,6 +21,7 @@ from ..functions.geometry import AXES, linear_index
 from ..operators import contour, factor, graph, grow, neighbours, resample, sampling, spectrum, spline, stats, store, tours
 from ..params import DimensionsParams, SamplerParams, StraightenParams, SvdParams
 from ..sources import images, raw_volume, text_files
+from ..streaming import heat_stream, reservoir
 from . import outputs, programs
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +229,47 @@ def heat_map(spark, sf_dir):
     return programs.sample_heat(spark, fx.voxels(spark, sf_dir), fx.DEPTH, fx.DRAWS, SamplerParams(fx.WIDTH, fx.HEIGHT, 2.0), fx.SEED)
 
 
+#: Draws of a batch of the streams.
+PER_BATCH = 700
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str, complete: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Run a stream, batch after batch, until its source has no draws left."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint")
+    run = writer.foreachBatch(complete).start() if complete else writer.format("parquet").option("path", path).start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+
+
+@register("heat_stream", f"""with {VOX}, {DRAWS} select cast({fx.HEIGHT // 2 + 1} - floor(y / 2.0) as int) sy, cast(floor(x / 2.0) as int) sx, count(*) hits,
+    cast(least(255, 10 * (pow(2.0, least(count(*), 10)) - 1)) as int) heat from accepted group by 1, 2""")
+def heat_of_stream(spark, sf_dir):
+    """The heat map of a stream of draws that stops at ``fx.DRAWS``; each batch writes the screen as it is by then."""
+    path, voxels = new_path(spark, "heat"), store.cut_lineage(fx.voxels(spark, sf_dir))  # every batch meets them
+    drawn = heat_stream.endless_draws(spark, fx.DEPTH, fx.HEIGHT, fx.WIDTH, fx.SEED, perBatch=PER_BATCH, end=fx.DRAWS)
+    heat = heat_stream.heat_stream(drawn, voxels, 2.0, fx.HEIGHT)
+    run_to_end(heat, path, "complete", lambda screen, batch: screen.write.mode("overwrite").parquet(path))
+    return spark.read.parquet(path)
+
+
+@register("reservoir_stream", f"""with {POINTS}, later as (select d, z, y, x, {sql_hash(fx.SEED, 4, 'd')} % {fx.POINTS} idx from accepted
+    where d > (select max(d) from (select d from accepted order by d limit {fx.POINTS}))),
+written as (select idx, arg_max(z, d) z, arg_max(y, d) y, arg_max(x, d) x from later group by idx)
+select cast(idx as int) idx, z, y, x from points where idx not in (select idx from written) union all select cast(idx as int), z, y, x from written""")
+def reservoir_of_stream(spark, sf_dir):
+    """The sample of points, renewed by all draws of a stream after those that it was made of."""
+    path, voxels = new_path(spark, "reservoir"), store.cut_lineage(fx.voxels(spark, sf_dir))
+    sample = store.cut_lineage(sampling.bright_points(voxels, draws(spark), fx.POINTS))
+    last = sampling.accepted_draws(voxels, draws(spark)).orderBy("d").limit(fx.POINTS).agg(F.max("d")).first()[0]
+    drawn = heat_stream.endless_draws(spark, fx.DEPTH, fx.HEIGHT, fx.WIDTH, fx.SEED, perBatch=PER_BATCH, first=last + 1, end=fx.DRAWS)
+    reservoir.prepare(spark)
+    changes = reservoir.reservoir_stream(sample, sampling.accepted_draws(voxels, drawn), fx.POINTS, fx.SEED)
+    run_to_end(changes, path, "append")
+    return reservoir.sample_after(sample, spark.read.schema(reservoir.SLOT).parquet(path))
+
+
 @register("mid_plane", f"with {VOX} select y, x, v from vox where z = 3 and y % 2 = 0 and x % 2 = 0")
 def mid_plane(spark, sf_dir):
     return sampling.plane(fx.voxels(spark, sf_dir), fx.DEPTH // 2, 2)

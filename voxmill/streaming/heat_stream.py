@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hash16
 from ..operators.sampling import accepted_draws, heat_map
+from ..sources import draw_stream
+
+
+def endless_draws(spark: SparkSession, depth: int, height: int, width: int, seed: int, **options: int) -> DataFrame:
+    """The draws of ``sampling.uniform_draws`` as a stream; for the options see ``draw_stream``."""
+    draw_stream.register(spark)
+    return draws_of(spark.readStream.format("draws").options(**options).load(), depth, height, width, seed)
 
 
 def draws_of(stream: DataFrame, depth: int, height: int, width: int, seed: int) -> DataFrame:
