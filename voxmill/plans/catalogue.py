@@ -527,25 +527,62 @@ def full_rank_reconstruction(spark, sf_dir):
     return rounded(full, "val", digits=3).where("val <> 0")
 
 
-@register("rank_recon_error")
+SWEEPS_OF_TURNS = 10 * (fx.DAYS - 1)
+#: Factors of the stack by turning pairs of columns of its Gram matrix until they stand upright on each other (one-sided
+#: Jacobi, every pair once in DAYS - 1 steps): modes (k, s, v), vt (k, t, val), u ("row", k, val).
+FACTORS = f"""pairs as (select a.t i, b.t j, cast(sum(a.v * b.v) as double) g from stack a join stack b using (px) group by 1, 2),
+turns as (select 0 step, cast(i.range as int) i, list(coalesce(g, 0) order by j.range) w
+        from range({fx.DAYS}) i(range) cross join range({fx.DAYS}) j(range) left join pairs on pairs.i = i.range and pairs.j = j.range group by 1, 2
+    union all select step + 1, i, list_transform(list_zip(w, o), lambda e: (e[1] - e[2] * tangent) / sqrt(1 + tangent * tangent)) from (
+        select *, case when across = 0 then 0 when ratio > 0 or ratio = 0 and i < j then 1 / (ratio + sqrt(1 + ratio * ratio)) else -1 / (sqrt(1 + ratio * ratio) - ratio) end tangent from (
+        select *, case when across = 0 then 0 else (list_dot_product(o, o) - list_dot_product(w, w)) / (2 * across) end ratio from (
+        select a.step, a.i, b.i j, a.w, b.w o, list_dot_product(a.w, b.w) across from turns a join turns b
+        on b.i = case when a.i = {fx.DAYS - 1} then a.step * {fx.DAYS // 2} % {fx.DAYS - 1} when 2 * a.i % {fx.DAYS - 1} = a.step % {fx.DAYS - 1} then {fx.DAYS - 1}
+            else (a.step + {fx.DAYS - 1} - a.i) % {fx.DAYS - 1} end
+        where a.step < {SWEEPS_OF_TURNS})))),
+upright as (select sqrt(list_dot_product(w, w)) square, case when list_max(w) < -list_min(w) then -1 else 1 end sign, w from turns where step = {SWEEPS_OF_TURNS}),
+modes as (select cast(row_number() over (order by square desc) - 1 as int) k, sqrt(square) s, list_transform(w, lambda e: e * sign / square) v from upright
+    where square > 1e-12 * (select max(square) from upright)),
+vt as (select k, cast(t.range as int) t, v[t.range + 1] val from modes, range({fx.DAYS}) t(range)),
+u as (select cast(px as bigint) "row", vt.k, sum(stack.v * vt.val) / any_value(modes.s) val from stack join vt using (t) join modes on modes.k = vt.k group by 1, 2)"""
+TRACED, TRACE_COLOURS, KEPT_RANK = 3, 10, 5
+
+
+@register("rank_recon_error", f"""with recursive {STACK}, {FACTORS}, rebuilt as (select u."row", vt.t, sum(u.val * s * vt.val) val
+    from u join vt using (k) join modes using (k) where k < {KEPT_RANK} group by 1, 2),
+errors as (select sum(pow(coalesce(val, 0) - coalesce(v, 0), 2)) error from rebuilt full join stack on px = "row" and stack.t = rebuilt.t)
+select round(error / 1000000, 4) error, round((select cast(sum(v * v) as double) from stack) / 1000000, 4) energy,
+    round((select sum(s * s) from modes where k < {KEPT_RANK}) / 1000000, 4) kept from errors""")
 def rank_recon_error(spark, sf_dir):
     px = fx.stack(spark, sf_dir)
-    svd = factor.truncated_svd(px, fx.DAYS, 5)
+    svd = factor.truncated_svd(px, fx.DAYS, KEPT_RANK)
     cells = px.select(F.col("px").cast("long").alias("row"), "t", F.col("v").cast("double").alias("v"))
     joined = factor.reconstruct(svd).join(cells, ["row", "t"], "full")
     gap = F.coalesce("val", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))
-    return joined.agg(F.sum(gap * gap).alias("error"), F.sum(F.pow(F.coalesce("v", F.lit(0.0)), 2)).alias("energy")).join(F.broadcast(svd.s.agg(F.sum(F.col("val") * F.col("val")).alias("kept"))))
+    both = joined.agg((F.sum(gap * gap) / 1000000).alias("error"), (F.sum(F.pow(F.coalesce("v", F.lit(0.0)), 2)) / 1000000).alias("energy"))
+    kept = svd.s.agg((F.sum(F.col("val") * F.col("val")) / 1000000).alias("kept"))
+    return rounded(both.join(F.broadcast(kept)), "error", "energy", "kept", digits=4)
 
 
-@register("seed_trace")
+@register("seed_trace", f"""with recursive {STACK}, {FACTORS} select vt.t, round(sum(u.val * s * vt.val), 4) val from u join vt using (k) join modes using (k)
+    where "row" = {TRACED} and k between 1 and {TRACE_COLOURS - 1} group by 1""")
 def seed_trace(spark, sf_dir):
-    return factor.seed_trace(factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, 10), 3, 10)
+    svd = factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, TRACE_COLOURS)
+    return rounded(factor.seed_trace(svd, TRACED, TRACE_COLOURS), "val", digits=4)
+
+
+CELL_COLOURS = 8
+
+
+def unit_sql(i: int) -> str:
+    """A draw from between 0 and 1 for a component."""
+    return f"(({sql_hash(fx.SEED, i, 'k')} + 0.5) / 65536.0)"
 
 
 def cell_params(px: DataFrame) -> SvdParams:
     """Parameters for a stack whose plane is as high as its pixels ask for."""
     height = int(px.agg(F.max("px")).first()[0]) // fx.STACK_WIDTH + 1
-    return SvdParams(fx.STACK_WIDTH, height, dim=20, colors=8, masks=6, scale=20.0, threshold=0.2)
+    return SvdParams(fx.STACK_WIDTH, height, dim=20, colors=CELL_COLOURS, masks=6, scale=20.0, threshold=0.2, seed=fx.SEED)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> programs.Cells:
@@ -563,20 +600,29 @@ def cell_frames(spark, sf_dir):
     return cells(spark, sf_dir).frames
 
 
-@register("pixel_colours")
+@register("pixel_colours", f"""with recursive {STACK}, {FACTORS}, sums as (select "row", sum(abs(val * s)) size, sum(val * s * (2 * {unit_sql(0)} - 1)) sx, sum(val * s * (2 * {unit_sql(1)} - 1)) sy
+    from u join modes using (k) where k between 1 and {CELL_COLOURS - 1} group by 1),
+one as (select avg(size) + 3 * coalesce(stddev_samp(size), 0) scale from sums)
+select "row", round(case when sx = 0 and sy = 0 then 0 else atan2(sy, sx) / 6.283185307179586 + 0.5 end, 6) hue,
+    round(case when scale > 0 then least(size / scale, 0.999) else 0 end, 6) saturation from sums, one""")
 def pixel_colours(spark, sf_dir):
-    return cells(spark, sf_dir).pixel_colours
+    return rounded(cells(spark, sf_dir).pixel_colours, "hue", "saturation")
 
 
-@register("component_shapes")
+@register("component_shapes", f"""with recursive {STACK}, {FACTORS}, drawn as (select k, {unit_sql(0)} r, {unit_sql(1)} g, {unit_sql(2)} b from modes where k > 0),
+palette as (select k, r * 0.02 / (0.33 * (r + g + b)) r, g * 0.02 / (0.33 * (r + g + b)) g, b * 0.02 / (0.33 * (r + g + b)) b from drawn),
+mixed as (select "row", {', '.join(f'sum(val * s / {50 * CELL_COLOURS} * {c}) + 0.33 {c}' for c in 'rgb')} from u join modes using (k) join palette using (k)
+    where k < {CELL_COLOURS} group by 1),
+strong as (select *, sqrt(greatest((r * r + g * g + b * b) / 3 - pow((r + g + b) / 3, 2), 0)) * {CELL_COLOURS} sd from mixed)
+select "row", {', '.join(f'cast(floor(least(greatest({c} * sd, 0), 1) * 255) as int) {c}' for c in 'rgb')} from strong""")
 def component_shapes(spark, sf_dir):
     px = fx.stack(spark, sf_dir)
     return programs.colour_shapes(px, fx.DAYS, cell_params(px))[1]
 
 
-@register("component_stack")
+@register("component_stack", f"""with recursive {STACK}, {FACTORS} select "row", k, cast(floor(least(greatest(val * s, 0), 65535)) as int) v from u join modes using (k) where k < {KEPT_RANK}""")
 def component_stack(spark, sf_dir):
-    return outputs.component_stack(factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, 5))
+    return outputs.component_stack(factor.truncated_svd(fx.stack(spark, sf_dir), fx.DAYS, KEPT_RANK))
 
 
 @register("region_grow", f"""with recursive {VOX}, median_ as (select avg(v) level from vox where z = 3), field as (select y, x from vox, median_ where z = 3 and v > 0.9 * level),
