@@ -12,6 +12,8 @@ from .tours import diameter
 
 #: Points up to which all pairs are listed (two million); more meet in the cells of a grid.
 ALL_PAIRS = 2000
+#: Points of the densest cell of the grid at first.
+CELL_POINTS = 64
 
 
 def minimum_spanning_tree(points: DataFrame) -> DataFrame:
@@ -29,15 +31,48 @@ def pairwise_distances(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("u") < F.col("w")).select("u", "w", distance("a", "b").alias("d"))
 
 
-def close_pairs(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame:
-    """(u, w, d), u < w, of ``probes`` and ``points`` (idx, comp, z, y, x) of different comp within ``reach``, by grid cells of that width."""
-    cells = [F.floor(F.col(a) / reach).alias(f"g{a}") for a in AXES]
-    right = points.select(F.col("idx").alias("w"), F.col("comp").alias("cw"), *(F.col(a).alias(f"b{a}") for a in AXES), *cells)
-    left = probes.select(F.col("idx").alias("u"), F.col("comp").alias("cu"), *(F.col(a).alias(f"a{a}") for a in AXES), *cells)
+def cells_of(reach: float, prefix: str = "") -> list:
+    """The grid cell of width ``reach`` that a point lies in."""
+    return [F.floor(F.col(f"{prefix}{a}") / reach).alias(f"g{a}") for a in AXES]
+
+
+def around(df: DataFrame) -> DataFrame:
+    """Every row in its own cell and in the 26 about it."""
     for a in AXES:
-        left = left.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"g{a}") + step for step in (-1, 0, 1)))))
-    met = left.join(right, [f"g{a}" for a in AXES]).where("cu <> cw").withColumn("d", distance("a", "b")).where(F.col("d") <= reach)
-    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w"), "d").distinct()
+        df = df.withColumn(f"g{a}", F.explode(F.array(*(F.col(f"g{a}") + step for step in (-1, 0, 1)))))
+    return df
+
+
+def close_pairs(probes: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """(u, w, d), u < w: of every two comps of ``probes`` and ``points`` (idx, comp, z, y, x) the first edge within ``reach``, by (d, u, w).
+
+    Points meet in grid cells of that width, and only where the cell and those about it hold more than one
+    comp: the inside of a cluster that shorter edges have connected is not listed again. Of the edges between
+    two comps no other than the first can be in the tree, so a task passes on one for each two.
+    """
+    cells = [f"g{a}" for a in AXES]
+    placed = points.select("idx", "comp", *AXES, *cells_of(reach))
+    spans = around(placed.groupBy(*cells).agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    mixed = spans.groupBy(*cells).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*cells)
+    right = placed.join(mixed, cells, "left_semi").select(F.col("idx").alias("w"), F.col("comp").alias("cw"), *(F.col(a).alias(f"b{a}") for a in AXES), *cells)
+    left = probes.select(F.col("idx").alias("u"), F.col("comp").alias("cu"), *(F.col(a).alias(f"a{a}") for a in AXES), *cells_of(reach))
+    met = around(left.join(mixed, cells, "left_semi")).join(right, cells).where("cu <> cw").withColumn("d", distance("a", "b")).where(F.col("d") <= reach)
+    edge = F.struct("d", F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w"))
+    first = met.groupBy(F.least("cu", "cw").alias("low"), F.greatest("cu", "cw").alias("high")).agg(F.min(edge).alias("e"))
+    return first.select("e.u", "e.w", "e.d")
+
+
+def first_reach(points: DataFrame) -> float:
+    """A length at which pairs stay in proportion to points: about the distance of neighbours where most are, and less while some cell holds many."""
+    low, quarter, most, high = np.transpose(points.approxQuantile(list(AXES), [0.0, 0.25, 0.75, 1.0], 0.01))
+    reach = float((np.prod(np.maximum(most - quarter, 1e-3)) / max(points.count() / 8, 1)) ** (1 / 3))
+    finest = float(np.abs([low, high]).max()) * 2.0**-40  # cells are still told apart
+    while reach > finest:
+        densest = points.groupBy(*cells_of(reach)).count().agg(F.max("count")).first()[0] or 0
+        if densest <= CELL_POINTS:
+            break
+        reach /= max(2.0, (densest / CELL_POINTS) ** (1 / 3))
+    return reach
 
 
 def tree_by_distance(points: DataFrame) -> DataFrame:
@@ -57,9 +92,7 @@ def tree_by_distance(points: DataFrame) -> DataFrame:
 
 def tree_of_places(points: DataFrame) -> DataFrame:
     """As ``tree_by_distance``, of points no two of which lie in one place."""
-    # The first length is about the distance of neighbours where most points are, so that pairs stay in proportion to points.
-    middle = [quartiles[1] - quartiles[0] for quartiles in points.approxQuantile(list(AXES), [0.25, 0.75], 0.01)]
-    reach = float((np.prod([max(float(width), 1e-3) for width in middle]) / max(points.count() / 8, 1)) ** (1 / 3))
+    reach = first_reach(points)
     placed = cut_lineage(points.select("idx", *AXES))
     labels = cut_lineage(placed.select(F.col("idx").alias("node"), F.col("idx").alias("comp")))
     picked: DataFrame | None = None
@@ -69,8 +102,8 @@ def tree_of_places(points: DataFrame) -> DataFrame:
         if len(sizes) < 2:
             return picked if picked is not None else points.sparkSession.createDataFrame([], "u int, w int, d double")
         pairs = cut_lineage(close_pairs(labelled.where(F.col("comp") != sizes[0]["comp"]), labelled, reach))
-        new, labels = merge_rounds(pairs, labels)
-        if new is not None:
+        if not pairs.isEmpty():
+            new, labels = merge_rounds(pairs, labels)
             picked = new if picked is None else cut_lineage(picked.unionByName(new))
         reach *= 2
 
