@@ -6,7 +6,7 @@ from Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH = HEIGHT = 16
@@ -40,11 +40,18 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """px(px, t, v): sparse pixels x 30 days; a missing cell is 0."""
-    events = read(spark, sf_dir, "events")
-    return events.groupBy(F.col("user_id").cast("int").alias("px"), (F.dayofmonth("ts") - 1).cast("int").alias("t")).agg(
-        F.round(F.sum("value")).cast("long").alias("v")
+    """px(px, t, v): sparse pixels x 30 days; a missing cell is 0.
+
+    Values of a cell are added one by one in the order of their ids: a sum of doubles near a half depends
+    on its order, and would round one way or the other as the table is split.
+    """
+    values = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("int").alias("px"), (F.dayofmonth("ts") - 1).cast("int").alias("t"), "event_id", "value"
     )
+    order = Window.partitionBy("px", "t").orderBy("event_id")
+    total = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    added = values.select("px", "t", F.round(total).cast("long").alias("v"), F.lead(F.lit(1)).over(order).alias("more"))
+    return added.where("more is null").drop("more")
 
 
 def series(spark: SparkSession, sf_dir: str, period: int = 0) -> DataFrame:
