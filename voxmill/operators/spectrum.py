@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,14 +12,41 @@ from pyspark.sql import functions as F
 
 #: Values of a band that a task transforms, and the number of bands from which on they grow instead.
 BAND, MAX_BANDS = 1 << 16, 1 << 12
+#: Places of a run of the series whose products are summed in one task.
+CHUNK = 1 << 16
+
+
+def placed_in_runs(series: DataFrame, n: int, max_lag: int) -> DataFrame:
+    """(run, at, v): ``series`` (i, v) with i from 0 to n - 1, cut into runs of CHUNK places, each with the ``max_lag`` places after it."""
+    i, at, last = F.col("i"), F.col("at"), (n - 1) // CHUNK
+    # Places beyond the end are those from the start again.
+    turns = F.explode(F.sequence(F.lit(0), F.floor((n - 1 + max_lag - i) / n).cast("int")))
+    placed = series.where("v is not null").where((i >= 0) & (i < n)).select(i.cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    placed = placed.withColumn("turn", turns).select((i + F.col("turn").cast("long") * n).alias("at"), "v")
+    runs = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((at - max_lag) / CHUNK)), F.least(F.floor(at / CHUNK), F.lit(last))))
+    return placed.select(runs.alias("run"), "at", "v")
 
 
 def lag_products(series: DataFrame, n: int, max_lag: int) -> DataFrame:
-    """(lag, r): circular autocorrelation of ``series`` (i, v) with i from 0 to n - 1, for few lags, as a join."""
-    lags = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
-    later = series.select(F.col("v").alias("a"), F.col("i"), lags).withColumn("i2", (F.col("i") + F.col("lag")) % n)
-    other = series.select(F.col("i").alias("i2"), F.col("v").alias("b"))
-    return later.join(other, "i2").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("r"))
+    """(lag, r): circular autocorrelation of ``series`` (i, v) with i from 0 to n - 1, for few lags.
+
+    A value is shuffled once, and twice near the start of a run. A run gives one sum for each lag, and these
+    are added without an error.
+    """
+    chunk = CHUNK
+
+    def sums(key: tuple, rows: pa.Table) -> pa.Table:
+        start = key[0].as_py() * chunk
+        own = min(chunk, n - start)
+        values = np.bincount(rows.column("at").to_numpy() - start, rows.column("v").to_numpy(), minlength=own + max_lag)
+        products = [float(values[:own] @ values[lag : lag + own]) for lag in range(1, max_lag + 1)]
+        return pa.table({"lag": pa.array(range(1, max_lag + 1), pa.int32()), "r": products})
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"lag": pa.array([key[0].as_py()], pa.int32()), "r": [math.fsum(rows.column("r").to_pylist())]})
+
+    parts = placed_in_runs(series, n, max_lag).groupBy("run").applyInArrow(sums, "lag int, r double")
+    return parts.groupBy("lag").applyInArrow(add, "lag int, r double")
 
 
 @dataclass(frozen=True)
