@@ -3,7 +3,7 @@
 A fingerprint of 64 bits is cut into two segments. If two fingerprints differ in three bits at most,
 one of their segments differs in one bit at most; clearing that bit in both makes the segments equal.
 So each distinct fingerprint is indexed under the 64 variants of its segments with one bit cleared,
-an equality join over the variants finds every pair that can link, and the whole fingerprints verify
+one shuffle of the variants brings every pair that can link together, and the whole fingerprints verify
 it. Links are made between distinct fingerprints, never between copies.
 
 Variants that many fingerprints share are not compared pair by pair. Every fingerprint in such a
@@ -104,20 +104,49 @@ def spanning_links(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(buckets: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b) links inside rows of ``members``, lists of at most PAIRED_BUCKET distinct fingerprints."""
+def run_links(variants: DataFrame, paired_bucket: int) -> DataFrame:
+    """(a, b) links inside the buckets of ``variants`` (fp, key), and (a, null) for each fingerprint of a larger bucket than ``paired_bucket``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for members in batch.column("members"):
-                values = members.values.to_numpy()
-                for i, j in spanning_links(values.view(np.uint64), max_bits):
-                    a.append(values[i])
-                    b.append(values[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    Variants are shuffled once and sorted, so a bucket is a run of rows; no more of a run is held than ``paired_bucket`` and a batch.
+    """
 
-    return buckets.select("members").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, prints, crowded = np.empty(0, np.int64), np.empty(0, np.int64), None  # the run that is not over, and the key of one that is too long
+
+        def links_of(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            """Of whole runs of at most ``paired_bucket`` rows."""
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(starts, len(keys)))
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(prints[two].view(np.uint64) ^ prints[two + 1].view(np.uint64)) <= MAX_BITS]
+            a, b = [prints[two]], [prints[two + 1]]
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                members = prints[start : start + size]
+                links = np.array(spanning_links(members.view(np.uint64), MAX_BITS), np.int64).reshape(-1, 2)
+                a.append(members[links[:, 0]])
+                b.append(members[links[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+        def alone(prints: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(prints), pa.nulls(len(prints), pa.int64())], names=["a", "b"])
+
+        for batch in filter(len, batches):
+            keys = np.concatenate((keys, batch.column("key").to_numpy()))
+            prints = np.concatenate((prints, batch.column("fp").to_numpy()))
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            long = (sizes > paired_bucket) | (keys[starts] == crowded if crowded is not None else False)
+            crowded = keys[-1] if long[-1] else None
+            over = np.repeat(long, sizes)
+            yield alone(prints[over])
+            last = len(keys) if long[-1] else starts[-1]
+            done = ~over[:last]
+            yield links_of(keys[:last][done], prints[:last][done])
+            keys, prints = keys[last:], prints[last:]
+        yield links_of(keys, prints)
+
+    dealt = variants.repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.select("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def ball_links(points: DataFrame) -> DataFrame:
@@ -150,14 +179,9 @@ def fingerprint_links(points: DataFrame, paired_bucket: int = PAIRED_BUCKET) ->
     """(a, b) links between distinct fingerprints (fp) that connect all pairs within three bits."""
     # Few bytes before 64 rows for each: dealt out again, or a few tasks would make all variants.
     variants = deletion_variants(points.repartition(shuffle_width(points.sparkSession), "fp"))
-    shared = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    shared = materialize(shared)
-    of_two = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
-    members = joined_by_key(variants, shared.where("n > 2").select("key", "n"), "key", "n")
-    lists = members.where(F.col("n") <= paired_bucket).groupBy("key").agg(F.collect_list("fp").alias("members"))
-    of_few = bucket_links(lists, MAX_BITS)
-    crowded = members.where(F.col("n") > paired_bucket).select("fp").distinct()
-    return of_two.unionByName(of_few).unionByName(ball_links(crowded))
+    found = materialize(run_links(variants, paired_bucket))
+    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    return found.where("b is not null").unionByName(ball_links(crowded))
 
 
 def linked_classes(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
