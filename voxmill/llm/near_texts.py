@@ -1,9 +1,10 @@
 """Near-duplicates by the exact Jaccard similarity of 5-word shingle sets, found over MinHash bands.
 
 Texts whose sets of 5-word shingles have a similarity of 0.8 differ in about ten of 64 SimHash bits,
-which no split of 64 bits into segments can find by equality joins. So candidates come from MinHash:
+which no split of 64 bits into segments can find by equality joins. So candidates come from two ways:
+from the deletion variants of SimHash fingerprints, as ``simhash`` joins them (three bits), and from MinHash:
 32 bands of 7 minima each, of which a pair at 0.8 shares one with a probability of 0.9995, and a more
-similar pair is found more surely. Everything that bands connect forms a group, and inside a group
+similar pair is found more surely. Everything that these connect forms a group, and inside a group
 texts are compared exactly, over their whole sets: no link is taken from an estimate, and none below
 the similarity is made. Groups larger than BLOCK texts are first compared in blocks, each with one
 common centre, so that copies of one original are connected by as many rows as there are copies. What
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import is_empty, joined_by_key, materialize, ragged_take
 from .components import connected_components
-from .simhash import SEED, linked_classes, shingle_hashes, without_linked
+from .simhash import SEED, fingerprint_links, fingerprint_of, linked_classes, shingle_hashes, without_linked
 
 WIDTH = 5
 #: The least similarity of a link, as a fraction of integers.
@@ -40,7 +41,11 @@ PART = 512
 
 def shingle_set(text: str) -> np.ndarray:
     """Distinct hashes of the 5-word shingles of a text, sorted; never empty."""
-    found = np.unique(shingle_hashes(text, WIDTH))
+    return distinct(shingle_hashes(text, WIDTH))
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    found = np.unique(hashes)
     return found if len(found) else np.zeros(1, dtype=np.uint64)
 
 
@@ -64,26 +69,28 @@ def band_keys(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), fp (a hash of the shingle set) and keys (of its bands)."""
+    """doc_id, text_key (a hash of the text), fp (a hash of the shingle set), keys (of its bands) and print (its SimHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = hash_family()
         for batch in batches:
             prints = np.empty(batch.num_rows, dtype=np.uint64)
             keys = np.empty((batch.num_rows, BANDS), dtype=np.uint64)
+            marks = np.empty(batch.num_rows, dtype=np.uint64)
             for i, text in enumerate(batch.column("text")):
-                shingles = shingle_set(text.as_py() or "")
+                shingles = distinct(shingle_hashes(text.as_py() or "", WIDTH))
+                marks[i] = fingerprint_of(shingles)
                 prints[i] = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)
                 keys[i] = band_keys(shingles, family)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp", "keys"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64)), lists, pa.array(marks.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp", "keys", "print"])
 
     columns = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
     )
-    return columns.mapInArrow(run, "doc_id long, text_key long, fp long, keys array<long>")
+    return columns.mapInArrow(run, "doc_id long, text_key long, fp long, keys array<long>, print long")
 
 
 def jaccard_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -162,16 +169,26 @@ def tile_links(members: DataFrame) -> DataFrame:
     return together.select("tile", "fp", "text").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_candidates(points: DataFrame) -> DataFrame:
+    """(a, b) pairs of shingle sets (fp) that connect all whose SimHash (print) differs in three bits at most, by deletion variants."""
+    least = materialize(points.groupBy("print").agg(F.min("fp").alias("a"), F.count("*").alias("n")))
+    equal = joined_by_key(points.select("fp", "print"), least, "print", "n").where("fp <> a").select("a", F.col("fp").alias("b"))
+    links = fingerprint_links(least.select(F.col("print").alias("fp"))).select(F.col("a").alias("one"), F.col("b").alias("other"))
+    ends = least.select("print", "a")
+    first = links.join(ends.withColumnRenamed("print", "one"), "one")
+    return equal.unionByName(first.join(ends.select(F.col("print").alias("other"), F.col("a").alias("b")), "other").select("a", "b"))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) links between fingerprints of shingle sets that connect all similar ones."""
-    points = prints.groupBy("fp").agg(F.min_by("keys", "text_key").alias("keys"), F.min("text_key").alias("text_key"))
+    points = prints.groupBy("fp").agg(F.min_by("keys", "text_key").alias("keys"), F.min("text_key").alias("text_key"), F.first("print").alias("print"))
     points = materialize(points)
     listed = points.select("fp", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.min("fp").alias("centre"), F.max("fp").alias("last"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(shared)
     of_two = shared.where("n = 2").select(F.col("centre").alias("a"), F.col("last").alias("b"))
     of_more = joined_by_key(listed, shared.where("n > 2"), "key", "n").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
-    groups = connected_components(of_two.unionByName(of_more)).withColumnRenamed("node", "fp")
+    groups = connected_components(of_two.unionByName(of_more).unionByName(fingerprint_candidates(points))).withColumnRenamed("node", "fp")
     sized = materialize(groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     members = joined_by_key(groups, sized, "component", "n").withColumn("own", F.pmod(F.hash("fp"), F.col("blocks")))
     members = materialize(members.join(points.select("fp", "text_key"), "fp"))

@@ -54,7 +54,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 3) -> int:
     """The SimHash of a text: a bit is set if more than half of its shingles' hashes have it."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of the hashes of a text's shingles."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
