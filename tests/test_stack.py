@@ -16,6 +16,7 @@ from .test_catalogue import rows_of
 ON_THE_STACK = [
     "seed_trace",
     "spline_frames",
+    "spline_coeffs",
 ]
 
 
