@@ -17,6 +17,7 @@ ON_THE_STACK = [
     "seed_trace",
     "spline_frames",
     "spline_coeffs",
+    "chord_length",
 ]
 
 
