@@ -18,6 +18,7 @@ ON_THE_STACK = [
     "spline_frames",
     "spline_coeffs",
     "chord_length",
+    "contour_stencil",
 ]
 
 
