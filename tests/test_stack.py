@@ -19,6 +19,7 @@ ON_THE_STACK = [
     "spline_coeffs",
     "chord_length",
     "contour_stencil",
+    "component_stack",
 ]
 
 
