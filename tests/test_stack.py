@@ -20,6 +20,7 @@ ON_THE_STACK = [
     "chord_length",
     "contour_stencil",
     "component_stack",
+    "component_shapes",
 ]
 
 
