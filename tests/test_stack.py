@@ -21,6 +21,7 @@ ON_THE_STACK = [
     "contour_stencil",
     "component_stack",
     "component_shapes",
+    "full_rank_reconstruction",
 ]
 
 
