@@ -22,6 +22,7 @@ ON_THE_STACK = [
     "component_stack",
     "component_shapes",
     "full_rank_reconstruction",
+    "cl_to_rgb",
 ]
 
 
