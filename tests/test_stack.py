@@ -23,6 +23,7 @@ ON_THE_STACK = [
     "component_shapes",
     "full_rank_reconstruction",
     "cl_to_rgb",
+    "csl_to_rgb",
 ]
 
 
