@@ -24,6 +24,7 @@ ON_THE_STACK = [
     "full_rank_reconstruction",
     "cl_to_rgb",
     "csl_to_rgb",
+    "hsv_to_rgb",
 ]
 
 
