@@ -25,6 +25,7 @@ ON_THE_STACK = [
     "cl_to_rgb",
     "csl_to_rgb",
     "hsv_to_rgb",
+    "coloured_stack",
 ]
 
 
