@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, materialize
+from ..operators.store import Rounds
+from .common import is_empty, materialize, shuffles_removed
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,18 +18,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     graph's size. There is no limit to the rounds, so no component is left divided. The driver sees
     one row per round. Edges are held from the larger node to the smaller, and only nodes with
     a smaller neighbour are looked up. The edges of a star meet at its centre in joins to a table
-    with one row per node, so Spark may split them among tasks where they are many.
+    with one row per node, so Spark may split them among tasks where they are many. Edges are files
+    in every round: both uses of a step share the shuffles before it then, and few rows are read by few tasks.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds(edges.sparkSession)
+
+    def held(table: DataFrame) -> DataFrame:
+        with shuffles_removed(table.sparkSession):
+            return rounds.next(table)
+
+    edges = held(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not only_stars(edges):
         lower = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
         # Repeated edges are left until both steps are done: there are no more rows than edges before.
         large = edges.join(lower, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         pairs = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = pairs.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("edge"))
-        edges = materialize(small.select("edge.a", "edge.b").where("a <> b").distinct())
+        edges = held(small.select("edge.a", "edge.b").where("a <> b").distinct())
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres)
+    found = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres))
+    rounds.end()
+    return found
 
 
 def only_stars(edges: DataFrame) -> bool:
